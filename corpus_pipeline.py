@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadrille.llm import packing, quality_rules, secret_scan
+from quadrille.llm import line_dedup, near_dedup, packing, quality_rules, secret_scan
 from quadrille.llm.common import materialise, read_table
 from quadrille.llm.queries import WORD_BPE
 
@@ -14,6 +14,16 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality_rules.keep_good(docs)
 
 
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that repeat others exactly or nearly."""
+    return line_dedup.dedup_lines(docs)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return near_dedup.keep_one(docs)
+
+
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets masked in their texts."""
     return secret_scan.redact(docs)
@@ -24,7 +34,13 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.pack_documents(docs, WORD_BPE)
 
 
-STAGES = [("quality rules", quality_stage), ("secret scans", secret_stage), ("packing", packing_stage)]
+STAGES = [
+    ("quality rules", quality_stage),
+    ("line dedup", line_stage),
+    ("near dedup", near_stage),
+    ("secret scans", secret_stage),
+    ("packing", packing_stage),
+]
 
 #: No SQL expresses the stages; tests hold them against brute force.
 ORACLE_SQL = None

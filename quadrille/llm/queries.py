@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, license_scan, packing, quality_model, quality_rules, secret_scan, token_rollup, topk_search
+from . import bpe, license_scan, line_dedup, near_dedup, packing, quality_model, quality_rules, secret_scan, token_rollup, topk_search
 from .common import read_table, shared_dir
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -36,6 +36,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its repeated and nearly repeated lines taken out."""
+    documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(documents, counts=True)
+
+
 def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals by source, language and tokenizer version after four batches, one of them sent twice.
 
@@ -65,6 +71,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.assess(read_table(spark, sf_dir, "documents"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near copies of every document."""
+    return near_dedup.classes(read_table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in every document."""
     return secret_scan.scan(read_table(spark, sf_dir, "documents"))
@@ -81,8 +92,10 @@ def queries() -> dict:
         "op2_quality_model": op2_quality_model,
         "op3_bpe_roundtrip": op3_bpe_roundtrip,
         "op4_packing": op4_packing,
+        "op5_line_dedup": op5_line_dedup,
         "op6_token_rollup": op6_token_rollup,
         "op7_quality_rules": op7_quality_rules,
+        "op8_near_dedup": op8_near_dedup,
         "op9_secret_scan": op9_secret_scan,
         "op10_license_scan": op10_license_scan,
     }
