@@ -1 +1,33 @@
 """A Spark-native engine for RDF data: templates, patterns and SPARQL over DataFrames."""
+
+from .namespaces import Namespaces
+from .operators.bindings import Bindings
+from .operators.coercion import Coercion
+from .operators.graph import Dataset, Graph, Match, Prepared, Result, column, evaluate
+from .operators.template import Template
+from .plans.syntax import SyntaxProblem
+from .sources.mapping import Mapping, Property, Table
+from .terms import ANY, Blank, Iri, Literal, Variable
+
+__all__ = [
+    "ANY",
+    "Bindings",
+    "Blank",
+    "Coercion",
+    "Dataset",
+    "Graph",
+    "Iri",
+    "Literal",
+    "Mapping",
+    "Match",
+    "Namespaces",
+    "Prepared",
+    "Property",
+    "Result",
+    "SyntaxProblem",
+    "Table",
+    "Template",
+    "Variable",
+    "column",
+    "evaluate",
+]
