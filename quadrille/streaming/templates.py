@@ -26,7 +26,7 @@ def stream_distinct_triples(template: Template, rows: DataFrame, time: str, dela
         flat = with_time.select("__time", "__row.*")
         scoped = Bindings.from_df(flat).solutions()
         scope = Scope(scoped.values(), {**template.params, **params})
-        one = scoped.df.select(*(scope.value(t).term().alias(n) for n, t in zip("spo", triple, strict=True)), F.col("__time").alias("at"))
+        one = scoped.df.select(*(scope.value(t).term().alias(n) for n, t in zip("spo", triple, strict=True)), F.col("__time").cast("timestamp").alias("at"))
         one = one.where(F.col("s").isNotNull() & F.col("p").isNotNull() & F.col("o").isNotNull())
         out = one if out is None else out.unionAll(one)
     return out.withWatermark("at", delay).dropDuplicatesWithinWatermark(["s", "p", "o"])
