@@ -61,7 +61,7 @@ EXTRA = (
 RULES = BASE + EXTRA
 
 # --- Boolean trigram queries -------------------------------------------------
-# A query is True (no demand), a frozenset-free tuple ("and", ...) / ("or", ...) or a trigram.
+# A query is True (no demand), a trigram, or a tuple ("and", ...) or ("or", ...).
 
 
 def _both(kind: str, parts: list) -> object:
@@ -84,15 +84,14 @@ def _grams(word: str) -> object:
 
 
 def _literals(items, most: int = 32) -> tuple[list[str] | None, object]:
-    """All strings that a parsed sequence can match (None: too many) and what else it demands."""
-    exact: list[str] | None = [""]
-    demand: list = []
+    """All strings that a parsed sequence can match (None: not a short list) and what else it demands."""
+    exact, demand, whole = [""], [], True
 
-    def close() -> None:
-        nonlocal exact
-        if exact:
-            demand.append(_both("or", [_grams(x) for x in exact]))
-        exact = [""]
+    def close(then: list[str]) -> None:
+        """The literal run so far ends; another one begins."""
+        nonlocal exact, whole
+        demand.append(_both("or", [_grams(x) for x in exact]))
+        exact, whole = then, False
 
     for op, arg in items:
         name = str(op)
@@ -106,8 +105,9 @@ def _literals(items, most: int = 32) -> tuple[list[str] | None, object]:
             demand.append(inner)
         elif name == "BRANCH":
             found = [_literals(b, most) for b in arg[1]]
-            if all(x is not None and d is True for x, d in found):
+            if all(x is not None for x, _ in found):
                 options = sorted({s for x, _ in found for s in x})
+                demand.append(_both("or", [d for _, d in found]))
             else:
                 demand.append(_both("or", [_both("and", [d, _both("or", [_grams(s) for s in x]) if x else True]) for x, d in found]))
         elif name == "MAX_REPEAT" and arg[:2] == (0, 1):
@@ -117,14 +117,16 @@ def _literals(items, most: int = 32) -> tuple[list[str] | None, object]:
             inner, extra = _literals(list(arg[2]) * int(arg[0]), most) if arg[0] <= 8 else (None, True)
             options = inner
             demand.append(extra)
-        if options is not None and exact is not None and len(exact) * len(options) <= most:
+        elif name == "MAX_REPEAT" and arg[0] >= 1:  # once at least
+            inner, extra = _literals(arg[2], most)
+            demand += [extra, _both("or", [_grams(x) for x in inner]) if inner else True]
+        if options is not None and len(exact) * len(options) <= most:
             exact = [a + b for a in exact for b in options]
         else:
-            close()
-    if demand and any(d is not True for d in demand):
-        close()
-        return None, _both("and", demand)
-    return exact, True
+            close(options if options is not None and len(options) <= most else [""])
+    if not whole:
+        close([""])
+    return (exact if whole else None), _both("and", demand)
 
 
 def trigram_query(regex: str) -> object:
