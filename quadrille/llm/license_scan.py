@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import let
 
 THRESHOLD = 0.8
+#: Keeps rounding from pruning a pair that is exactly at a bound.
+SLACK = 1e-9
 
 # Published licence notices and permission texts.
 TEMPLATES = (
@@ -104,15 +106,15 @@ def _matches(unit: Column, threshold: float) -> Column:
     """Array of (license, dice) of the templates that a unit matches."""
     table = [(name, pairs_of(text)) for name, text in TEMPLATES]
     every = sorted({p for _, pairs in table for p in pairs})
-    low = min(len(p) for _, p in table) * threshold / (2 - threshold)
-    high = max(len(p) for _, p in table) * (2 - threshold) / threshold
+    low = min(len(p) for _, p in table) * threshold / (2 - threshold) - SLACK
+    high = max(len(p) for _, p in table) * (2 - threshold) / threshold + SLACK
     none = F.array().cast("array<struct<license:string,dice:double>>")
 
     def of_pairs(pairs: Column) -> Column:
         def compare(shared: Column) -> Column:
             found = []
             for name, own in table:
-                near = (F.size(pairs) >= len(own) * threshold / (2 - threshold)) & (F.size(pairs) <= len(own) * (2 - threshold) / threshold)
+                near = (F.size(pairs) >= len(own) * threshold / (2 - threshold) - SLACK) & (F.size(pairs) <= len(own) * (2 - threshold) / threshold + SLACK)
                 dice = 2.0 * F.size(F.array_intersect(shared, F.array(*map(F.lit, own)))) / (F.size(pairs) + len(own))
                 found.append(F.struct(F.lit(name).alias("license"), F.when(near, dice).alias("dice")))
             return F.filter(F.array(*found), lambda m: F.coalesce(m["dice"] >= threshold, F.lit(False)))
@@ -121,7 +123,7 @@ def _matches(unit: Column, threshold: float) -> Column:
         hits = F.filter(pairs, lambda p: p.isin(every))
         least = min(len(p) for _, p in table)
         # 2 |A n B| >= t (|A| + |B|) for some template: at least for the smallest one.
-        enough = lambda h: 2.0 * F.size(h) >= threshold * (F.size(pairs) + least)
+        enough = lambda h: 2.0 * F.size(h) >= threshold * (F.size(pairs) + least) - SLACK
         return F.when(near_any, let(hits, lambda h: F.when(enough(h), compare(h)).otherwise(none))).otherwise(none)
 
     def of_words(words: Column) -> Column:

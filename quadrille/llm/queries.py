@@ -194,7 +194,7 @@ u AS (SELECT r, unnest(string_split(text, chr(10))) AS unit FROM d UNION ALL
 w AS (SELECT r, string_split(regexp_replace(trim(replace(unit, chr(10), ' ')), ' +', ' ', 'g'), ' ') AS words FROM u),
 p AS (SELECT r, list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS pairs FROM w),
 m AS (SELECT r, license, 2.0::DOUBLE * len(list_intersect(p.pairs, t.pairs)) / (len(p.pairs) + len(t.pairs)) AS dice
-  FROM p JOIN t ON len(p.pairs) BETWEEN len(t.pairs) * {t} / (2 - {t}) AND len(t.pairs) * (2 - {t}) / {t}),
+  FROM p JOIN t ON len(p.pairs) BETWEEN len(t.pairs) * {t} / (2 - {t}) - 1e-9 AND len(t.pairs) * (2 - {t}) / {t} + 1e-9),
 x AS (SELECT r, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses,
   max(dice) AS best_dice, arg_min(license, (-dice, license)) AS best_license
   FROM m WHERE dice >= CAST({t} AS DOUBLE) GROUP BY r)

@@ -126,7 +126,7 @@ def test_redaction(spark, odd):
 def test_license_units_and_bounds(spark, odd, none):
     mit = license_scan.TEMPLATES[3][1]
     wrapped = "\n".join(" ".join(mit.split()[i : i + 9]) for i in range(0, len(mit.split()), 9))
-    texts = ["Released under the MIT License.", f"intro\n\n{wrapped}\n\nend", mit.upper().replace("free of charge", "at no charge"), "MIT", "", None, "the license of the software", "Licensed under CC BY-NC 4.0."]
+    texts = ["Released under the MIT License.", f"intro\n\n{wrapped}\n\nend", mit.upper().replace("FREE OF CHARGE", "AT NO CHARGE"), "MIT", "", None, "the license of the software", "Licensed under CC BY-NC 4.0."]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r for r in license_scan.scan(df).collect()}
     assert [got[i].best_license for i in range(8)] == ["MIT", "MIT", "MIT", None, None, None, None, "CC-BY-NC-4.0"]
