@@ -390,6 +390,19 @@ class Scope:
             return given
         return V.literal(given) if isinstance(given, Column) else V.const(node(given))
 
+    def formatted(self, e, conversion: str | None, spec: str | None) -> Val:
+        """A parameter as text: host values by Python's rules, columns by the printf form of the same."""
+        given = self.params.get(e.name)
+        if given is None:
+            raise TypeError(f"no value to format for {{{{{e.name}}}}}")
+        if isinstance(given, Column | Val):
+            col = given.col if isinstance(given, Val) else given
+            if conversion or not re.fullmatch(r"0?\d*d|\.\d+f|[xX]", spec or ""):
+                raise ValueError(f"a column cannot be formatted as {spec!r}")
+            return V.literal(F.format_string(f"%{spec}", col))
+        given = {"r": repr, "s": str, "a": ascii, None: lambda x: x}[conversion](given)
+        return V.const(Literal(format(given, spec or "")))
+
     def truth(self, e) -> Column:
         return V.effective_boolean(self.value(e))
 
@@ -409,6 +422,8 @@ class Scope:
             return coalesced([self.value(a) for a in args]) if args else V.unbound()
         if name in ("iri_encoded", "iri_plain"):
             return self.iri(e)
+        if name == "format":
+            return self.formatted(args[0], *e.extra)
         found = [self.value(a) for a in args]
         if name == "expression":
             return found[0]

@@ -162,6 +162,13 @@ sparql("t_2_relative_iri", "BASE <http://example.org/nation/> SELECT ?n WHERE {
 sparql("t_3_prefixed_name", "SELECT ?n WHERE { nation:3 v:n_name ?n }", "SELECT n_name AS n FROM nation WHERE n_nationkey = 3", "nation")
 
 
+@query("t_7_format_spec", "SELECT 'http://example.org/p/' || lpad(CAST(n_nationkey AS VARCHAR), 4, '0') AS iri FROM nation")
+def _formatted(spark, sf_dir):
+    rows = read(spark, sf_dir, "nation")
+    made = Template("f<http://example.org/p/{{k:04d}}> v:name ?n_name", NS, k=F.col("n_nationkey")).instantiate(rows)
+    return made.select(F.col("s.v").alias("iri"))
+
+
 def _template(name: str, text: str, table: str, select: str, sql: str, /, **casts: str) -> None:
     @query(name, sql)
     def run(spark, sf_dir):

@@ -246,6 +246,11 @@ def test_prepared_queries_take_other_parameters(g):
     assert rows(g.query("SELECT ?s ?v WHERE { ?s ex:v ?v }", bindings={"v": 2})) == [("<http://example.org/b>", '"2"^^<%s>' % INTEGER)]
 
 
+def test_formatted_parameters(g):
+    found = g.query("CONSTRUCT { f<http://x/{{n:03d}}/{{s!r}}> ex:p 1 } WHERE {}", n=7, s="a").graph
+    assert [s for s, _, _ in found] == [Iri("http://x/007/'a'")]
+
+
 def test_bind_of_a_bound_variable_is_refused(g):
     with pytest.raises(ValueError):
         g.query("SELECT ?s WHERE { ?s ex:v ?v BIND(1 AS ?v) }").frame()
