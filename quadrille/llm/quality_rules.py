@@ -47,7 +47,7 @@ RULES = (
     Rule("mean_word_chars", low=2.0, high=18.0),
     Rule("symbols_per_word", high=0.3),
     Rule("stop_words_per_word", low=0.02, from_words=50),
-    Rule("dup_lines_per_line", high=0.3),
+    Rule("dup_lines_per_line", high=0.5),
     Rule("repeat_words_per_word", high=0.2),
 )
 

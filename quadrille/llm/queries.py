@@ -136,7 +136,7 @@ f AS (SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_fa
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   (NOT base_failed AND n_words >= 10 AND word_chars / n_words BETWEEN 2.0 AND 18.0
    AND n_symbols / n_words <= CAST(0.3 AS DOUBLE) AND (n_words < 50 OR n_stop / n_words >= CAST(0.02 AS DOUBLE))
-   AND n_dup_lines / greatest(n_lines, 1) <= CAST(0.3 AS DOUBLE) AND n_repeat_words / n_words <= CAST(0.2 AS DOUBLE)) AS kept
+   AND n_dup_lines / greatest(n_lines, 1) <= CAST(0.5 AS DOUBLE) AND n_repeat_words / n_words <= CAST(0.2 AS DOUBLE)) AS kept
 FROM f
 """
 
