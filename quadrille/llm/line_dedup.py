@@ -11,8 +11,8 @@ which also collapses equal lines. Eight bands of three (0.997 of the pairs at si
 sets decides, and connected components of the confirmed pairs are found by distributed
 label passing. Of each component one line stays: the first one of its smallest doc_id.
 
-Texts never pass a shuffle but for the candidates' lines and, once, the documents whose
-lines are cut.
+No join is hinted: Catalyst broadcasts a side only below its own threshold, so the plan
+is the same at every size beyond it.
 
 Defined results: lines of fewer than ``LEAST_CHARS`` characters (trimmed) always stay,
 as such lines repeat by chance; a null text stays null; an emptied document stays as a
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .banding import candidate_pairs, components
-from .common import broadcast_if_small, discard, materialise
+from .common import discard, materialise
 
 THRESHOLD, LEAST_CHARS = 0.8, 24
 BANDS, ROWS = 8, 3
@@ -74,7 +74,7 @@ def duplicate_lines(documents: DataFrame, threshold: float = THRESHOLD) -> tuple
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     wanted, at_wanted = materialise(ids.join(nodes.select("id", "h1", "h2"), "id"), "wanted")
-    own = lines.select("h1", "h2", "line").join(broadcast_if_small(wanted, wanted.count(), 48), ["h1", "h2"])
+    own = lines.select("h1", "h2", "line").join(wanted, ["h1", "h2"])
     distinct = own.groupBy("id").agg(F.first("line").alias("line"))
     hashes = F.array_distinct(F.transform(shingles(F.col("line")), lambda g: F.xxhash64(g)))
     sets, at_sets = materialise(distinct.select("id", hashes.alias("s")), "sets")
@@ -96,8 +96,7 @@ def duplicate_lines(documents: DataFrame, threshold: float = THRESHOLD) -> tuple
 def cut_positions(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(whole, cut): for each document that loses lines, their positions."""
     repeated, _ = duplicate_lines(documents, threshold)
-    small = broadcast_if_small(repeated, repeated.count(), 48)
-    rows = _lines(documents).select("doc", "whole", "pos", "h1", "h2").join(small.withColumnRenamed("doc", "keeper"), ["h1", "h2"])
+    rows = _lines(documents).select("doc", "whole", "pos", "h1", "h2").join(repeated.withColumnRenamed("doc", "keeper"), ["h1", "h2"])
     hits, _ = materialise(rows.select("doc", "whole", "pos", "root", "keeper"), "hits")
     stays, _ = materialise(hits.where("doc = keeper").groupBy("root").agg(F.min("pos").alias("first")), "stays")
     marked = hits.join(stays, "root").where("NOT (doc = keeper AND pos = first)")
@@ -110,9 +109,7 @@ def dedup_lines(documents: DataFrame, threshold: float = THRESHOLD, counts: bool
     row = documents.select(F.struct(*(documents[c] for c in documents.columns)).alias("_row"))
     doc = F.coalesce(F.col("_row.doc_id").cast("long"), F.lit(NO_ID))
     keyed = row.select("_row", F.xxhash64(doc, F.coalesce(F.col("_row.text"), F.lit(""))).alias("whole"))
-    size = cuts.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("cut")), F.lit(0)).alias("p")).first()
-    small = broadcast_if_small(cuts, size["n"] + size["p"] // 4, 32)
-    found = keyed.join(small, "whole", "left")
+    found = keyed.join(cuts, "whole", "left")
     lines = F.split(F.col("_row.text"), "\n")
     parts = found.select("_row", "cut", lines.alias("_lines"))
     kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "cut")
