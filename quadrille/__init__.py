@@ -1,33 +1,25 @@
-"""A Spark-native engine for RDF data: templates, patterns and SPARQL over DataFrames."""
+"""A Spark-native engine for RDF data: templates, patterns and SPARQL over DataFrames.
 
-from .namespaces import Namespaces
-from .operators.bindings import Bindings
-from .operators.coercion import Coercion
-from .operators.graph import Dataset, Graph, Match, Prepared, Result, column, evaluate
-from .operators.template import Template
-from .plans.syntax import SyntaxProblem
-from .sources.mapping import Mapping, Property, Table
-from .terms import ANY, Blank, Iri, Literal, Variable
+Names load on first use, so that Python workers of other subpackages stay small.
+"""
 
-__all__ = [
-    "ANY",
-    "Bindings",
-    "Blank",
-    "Coercion",
-    "Dataset",
-    "Graph",
-    "Iri",
-    "Literal",
-    "Mapping",
-    "Match",
-    "Namespaces",
-    "Prepared",
-    "Property",
-    "Result",
-    "SyntaxProblem",
-    "Table",
-    "Template",
-    "Variable",
-    "column",
-    "evaluate",
-]
+import importlib
+
+_HOMES = {
+    "namespaces": ("Namespaces",),
+    "operators.bindings": ("Bindings",),
+    "operators.coercion": ("Coercion",),
+    "operators.graph": ("Dataset", "Graph", "Match", "Prepared", "Result", "column", "evaluate"),
+    "operators.template": ("Template",),
+    "plans.syntax": ("Path", "SyntaxProblem", "parse_path"),
+    "sources.mapping": ("Mapping", "Property", "Table"),
+    "terms": ("ANY", "Blank", "Iri", "Literal", "Variable"),
+}
+_WHERE = {name: home for home, names in _HOMES.items() for name in names}
+__all__ = sorted(_WHERE)
+
+
+def __getattr__(name: str):
+    if name not in _WHERE:
+        raise AttributeError(name)
+    return getattr(importlib.import_module(f"{__name__}.{_WHERE[name]}"), name)

@@ -500,24 +500,33 @@ class Dataset:
         for side, quads in (("delete", u.delete), ("insert", u.insert)):
             for g, *triple in quads:
                 by_graph.setdefault(g, {"delete": [], "insert": []})[side].append(tuple(triple))
-        changed = []
+        changed: dict = {}
         for g, sides in by_graph.items():
             target = g if g is not None else u.with_graph
             if isinstance(target, Param):
                 target = node(params[target.name])
-            if isinstance(target, Variable):
-                raise ValueError("GRAPH ?g in a template is not supported; name the graph")
-            name = target.value if target is not None else None
-            rows = self._get(name).triples()
-            if sides["delete"]:
-                # Blank nodes of a delete pattern are wildcards bound by the WHERE; data has none.
-                rows = without(rows, instantiate(sides["delete"], sols, params))
-            if sides["insert"]:
-                rows = rows.unionAll(instantiate(sides["insert"], sols, params))
-            changed.append((name, rows, not sides["insert"]))
-        for name, rows, distinct in changed:
+            for name, part in self._addressed(target, sols):
+                rows, distinct = changed.get(name) or (self._get(name).triples(), True)
+                if sides["delete"]:
+                    # Blank nodes of a delete pattern are wildcards bound by the WHERE; data has none.
+                    rows = without(rows, instantiate(sides["delete"], part, params))
+                if sides["insert"]:
+                    rows, distinct = rows.unionAll(instantiate(sides["insert"], part, params)), False
+                changed[name] = rows, distinct
+        for name, (rows, distinct) in changed.items():
             self._put(name, Graph.from_triples(rows, name, self.ns, distinct))
 
+    def _addressed(self, target, sols: Solutions) -> list[tuple[str | None, Solutions]]:
+        """The graphs that a template names, each with the solutions that name it."""
+        if not isinstance(target, Variable):
+            return [(target.value if target is not None else None, sols)]
+        if target.name not in sols.specs:
+            return []
+        label = sols.value(target.name).text()
+        # Handles of named graphs live on the driver, so their names may be read here.
+        found = [r[0] for r in sols.df.select(label.alias("g")).distinct().collect()]
+        return [(name, sols.where(label == name)) for name in found if name is not None]
+
 
 def evaluate(text: str, mapping: dict | None = None, ns: Namespaces | None = None, spark: SparkSession | None = None, **params):
     """The term of an expression for one mapping; ValueError for a SPARQL error."""

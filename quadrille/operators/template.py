@@ -19,6 +19,8 @@ from ..terms import ANY, BLANK, IRI, Blank, Variable
 from .bindings import as_solutions
 
 ROW = "__row"
+#: Functions without arguments that give another value at each call.
+_ANEW = {"RAND", "UUID", "STRUUID", "BNODE"}
 
 
 def _parts(term):
@@ -28,10 +30,16 @@ def _parts(term):
             yield from _parts(a)
 
 
+def _key(term):
+    """What makes two places of a template one computation: equal terms, unless they give another value each time."""
+    fresh = any(isinstance(t, Call) and t.name in _ANEW and not t.args for t in _parts(term))
+    return id(term) if fresh else term
+
+
 def instantiate(triples, sols: Solutions, params: dict | None = None) -> DataFrame:
     """[s, p, o] of the triples for each solution, as a bag; one with an unbound term is left out.
 
-    Equal terms of a template are computed once per row. Blank nodes are new for each row:
+    Equal terms of a template are computed once per row (those that call RAND or UUID: each). Blank nodes are new for each row:
     their labels need a fixed row number, so the rows are written down first.
     """
     params = params or {}
@@ -54,19 +62,19 @@ def instantiate(triples, sols: Solutions, params: dict | None = None) -> DataFra
         for place, term in zip("spo", triple, strict=True):
             if isinstance(term, Param) and params.get(term.name) is ANY:
                 raise TypeError("ANY cannot be written")
-            terms.setdefault((term, place if place != "o" else "o"), None)
+            terms.setdefault((_key(term), place), term)
     columns, names = [], {}
-    for (term, place) in terms:
+    for (key, place), term in terms.items():
         value = scope.value(term)
         col = value.term()
         if place == "s" and value.kind == "lit" or place == "p" and value.kind in ("lit", "blank"):
             raise ValueError(f"a {'literal' if value.kind == 'lit' else 'blank node'} cannot be a {'subject' if place == 's' else 'predicate'}")
         if value.kind == "any" and place != "o":
             col = F.when(col["k"] <= (BLANK if place == "s" else IRI), col)
-        names[term, place] = f"__t{len(columns)}"
-        columns.append(col.alias(names[term, place]))
+        names[key, place] = f"__t{len(columns)}"
+        columns.append(col.alias(names[key, place]))
     computed = sols.df.select(*columns)
-    made = [F.struct(*(F.col(names[t, place]).alias(place) for place, t in zip("spo", triple, strict=True))) for triple in triples]
+    made = [F.struct(*(F.col(names[_key(t), place]).alias(place) for place, t in zip("spo", triple, strict=True))) for triple in triples]
     if not made:
         raise ValueError("the template has no triples")
     rows = computed.select(F.inline(F.array(*made))) if len(made) > 1 else computed.select(made[0].alias("t")).select("t.*")

@@ -348,9 +348,7 @@ class Evaluator:
 
     # -- queries
     def select(self, q: Query, outer: Solutions | None = None) -> Solutions:
-        sols = self.group(q.where, None)
-        if outer is not None:
-            sols = sols.join(outer)
+        sols = self.group(q.where, outer)  # initial bindings are in place for the filters too
         if q.values is not None:
             sols = sols.join(self.table(*q.values))
         return self.finished(q, sols)

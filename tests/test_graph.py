@@ -246,6 +246,10 @@ def test_prepared_queries_take_other_parameters(g):
     assert rows(g.query("SELECT ?s ?v WHERE { ?s ex:v ?v }", bindings={"v": 2})) == [("<http://example.org/b>", '"2"^^<%s>' % INTEGER)]
 
 
+def test_filters_see_initial_bindings(g):
+    assert len(rows(g.query("SELECT ?s WHERE { ?s ex:v ?v FILTER(?v > ?least) }", bindings={"least": 1}))) == 2
+
+
 def test_formatted_parameters(g):
     found = g.query("CONSTRUCT { f<http://x/{{n:03d}}/{{s!r}}> ex:p 1 } WHERE {}", n=7, s="a").graph
     assert [s for s, _, _ in found] == [Iri("http://x/007/'a'")]
@@ -312,6 +316,24 @@ def test_dataset_operations(spark):
         d.query("SELECT * FROM <http://nowhere> WHERE { ?s ?p ?o }", NS)
 
 
+def test_templates_may_name_graphs_by_variable(spark):
+    d = Dataset(spark, named={EX + n: Graph.parse(spark, f"@prefix ex: <{EX}> . ex:{n} ex:v 1 .") for n in "gh"})
+    d.update("DELETE { GRAPH ?g { ?s ex:v ?v } } INSERT { GRAPH ?g { ?s ex:w ?g } GRAPH ex:new { ?s ex:was ?v } } WHERE { GRAPH ?g { ?s ex:v ?v } }", NS)
+    assert list(d.named[EX + "g"]) == [(Iri(EX + "g"), Iri(EX + "w"), Iri(EX + "g"))] and d.named[EX + "new"].count() == 2
+
+
+def test_random_values_are_one_per_occurrence(spark):
+    made = Template("e{ UUID() } ex:a 1 ; ex:b 2 . e{ UUID() } ex:c 3", NS)(spark.range(3))
+    assert made.triples().select("s").distinct().count() == 6
+
+
+def test_a_path_as_parameter(spark):
+    from quadrille import parse_path
+
+    h = Graph.parse(spark, PATHS)
+    assert h.match("ex:a {{p}} ?x", p=parse_path("ex:p/ex:q", NS)).one() == Iri(EX + "c")
+
+
 # -- files
 
 
