@@ -14,8 +14,8 @@ exact weighted similarity of both whole texts decides, and the classes are the c
 components of what it confirms. Exact copies are one node from the start.
 
 Defined results: a text of one to four words is one shingle; a text without words (null,
-empty, blank) is in a class with its exact copies only if they are rows of the same id,
-so it is never a duplicate of another document; repeated rows get one class; a class is
+empty, blank) is a class of its own, named by its id, so it is never a duplicate of
+another document; repeated rows get one class; a class is
 named by its smallest doc_id (null if it has none); extra columns are ignored.
 """
 
