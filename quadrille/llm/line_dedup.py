@@ -11,8 +11,7 @@ which also collapses equal lines. Eight bands of three (0.997 of the pairs at si
 sets decides, and connected components of the confirmed pairs are found by distributed
 label passing. Of each component one line stays: the first one of its smallest doc_id.
 
-No join is hinted: Catalyst broadcasts a side only below its own threshold, so the plan
-is the same at every size beyond it.
+No broadcast is hinted: Catalyst broadcasts a side only below its own threshold.
 
 Defined results: lines of fewer than ``LEAST_CHARS`` characters (trimmed) always stay,
 as such lines repeat by chance; a null text stays null; an emptied document stays as a
@@ -109,7 +108,8 @@ def dedup_lines(documents: DataFrame, threshold: float = THRESHOLD, counts: bool
     row = documents.select(F.struct(*(documents[c] for c in documents.columns)).alias("_row"))
     doc = F.coalesce(F.col("_row.doc_id").cast("long"), F.lit(NO_ID))
     keyed = row.select("_row", F.xxhash64(doc, F.coalesce(F.col("_row.text"), F.lit(""))).alias("whole"))
-    found = keyed.join(cuts, "whole", "left")
+    # The cuts grow with the documents: a plan that broadcasts them would only hold for small tables.
+    found = keyed.join(cuts.hint("merge"), "whole", "left")
     lines = F.split(F.col("_row.text"), "\n")
     parts = found.select("_row", "cut", lines.alias("_lines"))
     kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "cut")
