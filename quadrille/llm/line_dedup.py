@@ -5,9 +5,9 @@ characters from the start of each block, where blocks are words cut after every
 character. (A shingle at every block, not at every character, keeps the set a fifth of
 the line's length at the same sense of likeness; unspaced text is cut into blocks too.)
 
-24 minimum hashes per distinct line come from one aggregation over the exploded shingles,
-which also collapses equal lines. Eight bands of three (0.997 of the pairs at similarity
-0.8, over 0.9999 at 0.9) make candidates, the exact Jaccard similarity of the shingle
+Twelve minimum hashes per distinct line come from one aggregation over the exploded
+shingles, which also collapses equal lines. Six bands of two (0.998 of the pairs at
+similarity 0.8, over 0.9999 at 0.9) make candidates, the exact Jaccard similarity of the shingle
 sets decides, and connected components of the confirmed pairs are found by distributed
 label passing. Of each component one line stays: the first one of its smallest doc_id.
 
@@ -28,7 +28,7 @@ from .banding import candidate_pairs, components
 from .common import discard, materialise
 
 THRESHOLD, LEAST_CHARS = 0.8, 24
-BANDS, ROWS = 8, 3
+BANDS, ROWS = 6, 2
 SHINGLES = r"(?s)(?=(.{1,12}))\S{1,8}\s*"
 NO_ID = -(2**63)
 
