@@ -5,20 +5,41 @@ Both work on long ids of distinct contents, so copies cost nothing here.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialise
 
 
+#: Leaders of a bucket in the second election, how many times more in each later one, members of a block.
+WIDTH, WIDER, BLOCK = 16, 4, 2048
+
+
+class Election(NamedTuple):
+    """What the first election of leaders leaves, and the paths that it reads."""
+
+    pairs: DataFrame
+    shared: DataFrame
+    leaders: DataFrame
+    paths: list[str]
+
+
 def candidate_pairs(members: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Pairs (a < b) to verify, from rows (key, id), and the paths that the result reads.
+    """Pairs (a < b) of the first election, from rows (key, id), and the paths to discard after them."""
+    first = elect(members)
+    return first.pairs, first.paths
+
+
+def elect(members: DataFrame) -> Election:
+    """The first pairs (a < b) to verify, from rows (key, id).
 
     A bucket's members are all compared with up to four of them, its leaders, so the pairs grow
     with the members and not with their square: the smallest id, the member that shares the
     most places in buckets overall (in a group of near copies, the one closest to the rest),
-    and two chosen by hashes that differ from bucket to bucket. Members that match no leader
-    here have other leaders in their other buckets.
+    and two chosen by hashes that differ from bucket to bucket. ``linked`` compares the rest.
     """
     spark = members.sparkSession
     sizes = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -37,9 +58,55 @@ def candidate_pairs(members: DataFrame) -> tuple[DataFrame, list[str]]:
     each = shared.join(leaders, "key").select("id", F.explode("leaders").alias("leader")).where("id <> leader")
     pairs = each.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
     found, at_pairs = materialise(pairs, "pairs")
-    for path in (at_shared, at_centre, at_leaders):
+    discard(spark, at_centre)
+    return Election(found, shared, leaders, [at_pairs, at_shared, at_leaders])
+
+
+def linked(first: Election, confirm: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, list[str]]:
+    """(id, root) as of ``components`` over all pairs of bucket members that ``confirm`` keeps.
+
+    Members that have led are through with their bucket. What is left of a bucket is in one
+    component, or elects further leaders, more each time, that meet all members of other
+    components: in the end each pair was verified or its ends are in one component, so the
+    components are those of all pairs of each bucket. Large buckets meet their leaders block by block.
+    """
+    spark = first.pairs.sparkSession
+    table, at_table = components(confirm(first.pairs))
+    others = first.shared.where("n > 2").join(first.leaders, "key").where("NOT array_contains(leaders, id)")
+    rest, at_rest = materialise(others.select("key", "id"), "rest")
+    tested, at_tested, width, turn = first.pairs, [], WIDTH, 0
+    while True:
+        lot = F.xxhash64("id", "key", F.lit(turn))
+        rooted, at_rooted = materialise(rest.join(table, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"), lot.alias("lot")), "rooted")
+        sizes = rooted.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.min("lot").alias("least"))
+        leads = (F.col("lot") == F.col("least")) | (F.pmod("lot", "n") < width)
+        still = rooted.join(sizes.where("low < high"), "key").select("key", "id", "root", "n", leads.alias("leads"))
+        members, at_members = materialise(still, "members")
+        for path in (at_rest, at_rooted):
+            discard(spark, path)
+        if members.isEmpty():
+            break
+        blocks = F.ceil(F.col("n") / BLOCK)
+        dealt = members.select("key", F.pmod(F.xxhash64("id"), blocks).alias("block"), "id", "root")
+        leaders = members.where("leads").select("key", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), F.col("id").alias("leader"), F.col("root").alias("other"))
+        met = dealt.join(leaders, ["key", "block"]).where("root <> other")
+        pairs = met.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+        fresh, at_fresh = materialise(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        edges, at_edges = materialise(confirm(fresh), "edges")
+        if not edges.isEmpty():
+            known = table.select(F.col("id").alias("a"), F.col("root").alias("b"))
+            wider, at_wider = components(known.unionByName(edges))
+            for path in at_table:
+                discard(spark, path)
+            table, at_table = wider, at_wider
+        rest, at_rest = materialise(members.where("NOT leads").select("key", "id"), "rest")
+        for path in (at_members, at_edges):
+            discard(spark, path)
+        tested, at_tested = tested.unionByName(fresh), [*at_tested, at_fresh]
+        width, turn = width * WIDER, turn + 1
+    for path in (*at_tested, at_members):
         discard(spark, path)
-    return found, [at_pairs]
+    return table, at_table
 
 
 def components(edges: DataFrame) -> tuple[DataFrame, list[str]]:

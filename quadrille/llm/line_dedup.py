@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .banding import candidate_pairs, components
+from .banding import elect, linked
 from .common import discard, materialise
 
 THRESHOLD, LEAST_CHARS = 0.8, 24
@@ -69,18 +69,22 @@ def duplicate_lines(documents: DataFrame, threshold: float = THRESHOLD) -> tuple
     spark = documents.sparkSession
     lines = _lines(documents)
     nodes, at_nodes = materialise(_nodes(lines).select("*", F.monotonically_increasing_id().alias("id")), "lines")
-    pairs, at_pairs = candidate_pairs(nodes.select(F.explode("keys").alias("key"), "id"))
+    first = elect(nodes.select(F.explode("keys").alias("key"), "id"))
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = first.pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     wanted, at_wanted = materialise(ids.join(nodes.select("id", "h1", "h2"), "id"), "wanted")
     own = lines.select("h1", "h2", "line").join(wanted, ["h1", "h2"])
     distinct = own.groupBy("id").agg(F.first("line").alias("line"))
     hashes = F.array_distinct(F.transform(shingles(F.col("line")), lambda g: F.xxhash64(g)))
     sets, at_sets = materialise(distinct.select("id", hashes.alias("s")), "sets")
-    joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
-    both = joined.select("a", "b", F.size(F.array_intersect("x", "y")).alias("both"), (F.size("x") + F.size("y")).alias("all"))
-    table, at_table = components(both.where(F.col("both") >= threshold * (F.col("all") - F.col("both"))).select("a", "b"))
-    for path in (*at_pairs, at_wanted, at_sets):
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
+        both = joined.select("a", "b", F.size(F.array_intersect("x", "y")).alias("both"), (F.size("x") + F.size("y")).alias("all"))
+        return both.where(F.col("both") >= threshold * (F.col("all") - F.col("both"))).select("a", "b")
+
+    table, at_table = linked(first, confirm)
+    for path in (*first.paths, at_wanted, at_sets):
         discard(spark, path)
 
     rooted = nodes.select("id", "h1", "h2", "n", "doc").join(table, "id", "left").where("n > 1 OR root IS NOT NULL")

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .banding import candidate_pairs, components
+from .banding import elect, linked
 from .common import broadcast_if_small, discard, materialise
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -176,16 +176,16 @@ def classes(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     nodes, at_nodes = materialise(contents.select("h1", "h2", "first", F.monotonically_increasing_id().alias("id")), "nodes")
     # Copies have the same keys: a bucket's rows are made distinct before they meet.
     keyed = signed.where("bands IS NOT NULL").select("h1", "h2", F.explode("bands").alias("key")).distinct()
-    pairs, at_pairs = candidate_pairs(keyed.join(nodes, ["h1", "h2"]).select("key", "id"))
+    first = elect(keyed.join(nodes, ["h1", "h2"]).select("key", "id"))
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(nodes, "id").select("id", "h1", "h2")
+    wanted = first.pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(nodes, "id").select("id", "h1", "h2")
     wanted, at_wanted = materialise(wanted, "wanted")
     text = F.coalesce("text", F.lit(""))
     rows = documents.select(*_hash_columns(text), text.alias("text"))
     held = rows.join(broadcast_if_small(wanted, wanted.count(), 48), ["h1", "h2"]).groupBy("id").agg(F.first("text").alias("text"))
     texts, at_texts = materialise(held, "texts")
-    table, at_table = components(_verify(pairs, texts, threshold))
-    for path in (*at_pairs, at_wanted, at_texts):
+    table, at_table = linked(first, lambda pairs: _verify(pairs, texts, threshold))
+    for path in (*first.paths, at_wanted, at_texts):
         discard(spark, path)
 
     rooted = nodes.join(table, "id", "left").select("h1", "h2", "first", F.coalesce("root", "id").alias("root"))

@@ -38,6 +38,17 @@ def test_leaders_keep_pairs_linear(spark):
     assert {x for r in rows for x in r} == set(range(2000))
 
 
+def test_all_pairs_of_a_bucket_count(spark):
+    """A ring of near neighbours without a centre, and a bucket where nothing matches: linked as by all pairs."""
+    ring, apart = 1100, 50
+    members = [("ring", i * 7 % ring) for i in range(ring)] + [("apart", 5000 + i) for i in range(apart)] + [("three", 9000 + i) for i in range(3)]
+    first = banding.elect(spark.createDataFrame(members, "key string, id long").selectExpr("xxhash64(key) AS key", "id"))
+    confirmed = f"a < {ring} AND (b - a = 1 OR b - a = {ring - 1}) OR a = 9001 AND b = 9002"
+    table, _ = banding.linked(first, lambda pairs: pairs.where(confirmed))
+    roots = {r.id: r.root for r in table.collect()}
+    assert roots == {i: 0 for i in range(ring)} | {9001: 9001, 9002: 9001}
+
+
 # -- documents
 
 
@@ -112,6 +123,31 @@ def test_one_large_group_of_near_copies(spark):
     assert [r.class_id for r in got] == [0]
 
 
+def test_family_without_a_centre(spark):
+    """1100 texts of one base that is not among them: 149 of their 604450 pairs reach the threshold."""
+    rnd = random.Random(31)
+    base = [f"b{i}" for i in range(204)]
+    texts = []
+    for _ in range(1100):
+        words = list(base)
+        for at in rnd.sample(range(204), 4):
+            words[at] = f"e{rnd.randrange(10**9)}"
+        texts.append(" ".join(words))
+    # All shingles of a text differ; an edited shingle has a random word and is no other text's.
+    common = {g: k for k, g in enumerate(weights(" ".join(base)))}
+    own = np.zeros((1100, len(common)), np.float32)
+    for i, text in enumerate(texts):
+        own[i, [common[g] for g in weights(text) if g in common]] = 1
+    both = own @ own.T
+    parent = {i: i for i in range(1100)}
+    for i, j in np.argwhere(np.triu(both >= 0.8 * (400 - both), 1)):
+        x, y = find(parent, int(i)), find(parent, int(j))
+        parent[max(x, y)] = min(x, y)
+    want = {i: find(parent, i) for i in range(1100)}
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_odd_documents(odd, none):
     got = near_dedup.classes(odd).collect()
     assert len(got) == odd.count() and Counter(r.class_id for r in got)[5] == 2
