@@ -538,6 +538,28 @@ _path("q_24_plus", "SELECT ?x ?y WHERE { ?x v:to+ ?y }", _EDGES + f", r AS (SELE
 _path("q_24_plus_bound", "SELECT ?y (customer:11 AS ?x) WHERE { customer:11 (v:to|v:half)+ ?y }", _EDGES + f", b AS (SELECT * FROM e UNION SELECT * FROM h), r AS (SELECT y FROM b WHERE x = 11 UNION SELECT b.y FROM r JOIN b ON r.y = b.x) SELECT 'http://example.org/customer/11' AS x, {_NODE.format('y', 'y')} FROM r")
 _path("q_24_plus_to_bound", "SELECT ?x (customer:1 AS ?y) WHERE { ?x v:half+ customer:1 }", _EDGES + f", r AS (SELECT x FROM h WHERE y = 1 UNION SELECT h.x FROM r JOIN h ON r.x = h.y) SELECT {_NODE.format('x', 'x')}, 'http://example.org/customer/1' AS y FROM r")
 _path("q_25_star", "SELECT ?x ?y WHERE { ?x v:half* ?y }", _EDGES + f", n AS (SELECT x FROM h UNION SELECT y FROM h UNION SELECT y FROM e), r AS (SELECT x, x AS y FROM n UNION SELECT r.x, h.y FROM r JOIN h ON r.y = h.x) SELECT {_NODE.format('x', 'x')}, {_NODE.format('y', 'y')} FROM r")
+
+
+def _halves(spark, sf_dir) -> Graph:
+    """Each customer of the whole table points to the one of half its number: a closure of n log n pairs."""
+    keys = read(spark, sf_dir, "customer").select("c_custkey", F.expr("c_custkey div 2").alias("b"))
+    return Graph.empty(spark, ns=NS).add("customer:{?c_custkey} v:half customer:{?b}", keys)
+
+
+_ALL_HALVES = "WITH RECURSIVE h AS (SELECT c_custkey AS x, c_custkey // 2 AS y FROM customer)"
+
+
+def _whole_path(name: str, text: str, sql: str) -> None:
+    @query(name, _ALL_HALVES + sql)
+    def run(spark, sf_dir):
+        return _halves(spark, sf_dir).query(text).frame(x="string", y="string")
+
+
+_whole_path("q_23_optional_path_all", "SELECT ?x ?y WHERE { ?x v:half? ?y }", f" SELECT {_NODE.format('x', 'x')}, {_NODE.format('y', 'y')} FROM (SELECT x, y FROM h UNION SELECT x, x FROM h UNION SELECT y, y FROM h)")
+_whole_path("q_24_plus_all", "SELECT ?x ?y WHERE { ?x v:half+ ?y }", f", r AS (SELECT x, y FROM h UNION SELECT r.x, h.y FROM r JOIN h ON r.y = h.x) SELECT {_NODE.format('x', 'x')}, {_NODE.format('y', 'y')} FROM r")
+_whole_path("q_24_plus_bound_all", "SELECT ?y (customer:149 AS ?x) WHERE { customer:149 v:half+ ?y }", f", r AS (SELECT y FROM h WHERE x = 149 UNION SELECT h.y FROM r JOIN h ON r.y = h.x) SELECT 'http://example.org/customer/149' AS x, {_NODE.format('y', 'y')} FROM r")
+_whole_path("q_24_plus_to_bound_all", "SELECT ?x (customer:1 AS ?y) WHERE { ?x v:half+ customer:1 }", f", r AS (SELECT x FROM h WHERE y = 1 UNION SELECT h.x FROM r JOIN h ON r.x = h.y) SELECT {_NODE.format('x', 'x')}, 'http://example.org/customer/1' AS y FROM r")
+_whole_path("q_25_star_all", "SELECT ?x ?y WHERE { ?x v:half* ?y }", f", r AS (SELECT x, x AS y FROM (SELECT x FROM h UNION SELECT y FROM h) UNION SELECT r.x, h.y FROM r JOIN h ON r.y = h.x) SELECT {_NODE.format('x', 'x')}, {_NODE.format('y', 'y')} FROM r")
 sparql("q_27_parameter", "SELECT ?k WHERE { ?c v:c_mktsegment {{seg}} ; v:c_custkey ?k ; v:c_nation {{nation}} }", "SELECT c_custkey AS k FROM customer WHERE c_mktsegment = 'FURNITURE' AND c_nationkey = 2", "customer", seg="FURNITURE", nation=Iri("http://example.org/nation/2"))
 sparql("q_28_computed_parameter", "SELECT ?n WHERE { f<http://example.org/nation/{{k}}> v:n_name ?n }", "SELECT n_name AS n FROM nation WHERE n_nationkey = 6", "nation", k=6)
 
