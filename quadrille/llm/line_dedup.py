@@ -1,15 +1,16 @@
 """Fuzzy line dedup by MinHash, in DataFrame operations only.
 
-A line is trimmed and lower-cased, and is the set of its character shingles: the twelve
-characters from the start of each block, where blocks are words cut after every eighth
-character. (A shingle at every block, not at every character, keeps the set a fifth of
-the line's length at the same sense of likeness; unspaced text is cut into blocks too.)
-
-Twelve minimum hashes per distinct line come from one aggregation over the exploded
-shingles, which also collapses equal lines. Six bands of two (0.998 of the pairs at
-similarity 0.8, over 0.9999 at 0.9) make candidates, the exact Jaccard similarity of the shingle
-sets decides, and connected components of the confirmed pairs are found by distributed
-label passing. Of each component one line stays: the first one of its smallest doc_id.
+A line is trimmed and lower-cased, and is the set of its character shingles: the five
+characters from every offset. An inserted or deleted character changes the shingles that
+hold it and no others, in spaced and in unspaced text.
+
+Equal lines are one row before anything is cut into shingles. Forty-eight minimum hashes per
+distinct line come from one aggregation over the exploded shingles. Twelve bands of four
+(0.998 of the pairs at similarity 0.8, over 0.9999 at 0.9) make candidates: short shingles
+are shared by chance, and fewer hashes to a band would put unlike lines into one bucket. The
+exact Jaccard similarity of the shingle sets decides, and connected components of the
+confirmed pairs are found by distributed label passing. Of each component one line stays:
+the first one of its smallest doc_id.
 
 No broadcast is hinted: Catalyst broadcasts a side only below its own threshold.
 
@@ -25,11 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .banding import elect, linked
-from .common import discard, materialise
+from .common import discard, let, materialise
 
 THRESHOLD, LEAST_CHARS = 0.8, 24
-BANDS, ROWS = 6, 2
-SHINGLES = r"(?s)(?=(.{1,12}))\S{1,8}\s*"
+BANDS, ROWS = 12, 4
+SHINGLES = r"(?s)(?=(.{5}))."
 NO_ID = -(2**63)
 
 
@@ -51,40 +52,46 @@ def _lines(documents: DataFrame) -> DataFrame:
     return long_enough.select("*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
+def _distinct(lines: DataFrame) -> DataFrame:
+    """One row per distinct line: line, h1, h2, how often it occurs, its smallest doc."""
+    return lines.groupBy("h1", "h2", "line").agg(F.count("*").alias("n"), F.min("doc").alias("doc"))
+
+
 def _nodes(lines: DataFrame) -> DataFrame:
-    """One row per distinct line: h1, h2, how often it occurs, its smallest doc, its band keys."""
-    grams = lines.select("h1", "h2", "doc", F.posexplode(shingles(F.col("line"))).alias("j", "gram"))
-    hashed = grams.select("h1", "h2", "doc", "j", F.xxhash64("gram").alias("s"))
+    """The band keys of every line that has shingles, beside its h1 and h2."""
+    hashed = lines.select("h1", "h2", F.explode(shingles(F.col("line"))).alias("gram")).select("h1", "h2", F.xxhash64("gram").alias("s"))
     # XOR with a constant is a one-to-one map of the hashes: each constant is a hash function of its own.
     masks = [(i + 1) * 0x9E3779B97F4A7C15 % 2**64 for i in range(BANDS * ROWS)]
     masks = [m - 2**64 if m >= 2**63 else m for m in masks]
     least = [F.min(F.col("s").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(masks)]
-    grouped = hashed.groupBy("h1", "h2").agg(F.sum(F.when(F.col("j") == 0, 1).otherwise(0)).alias("n"), F.min("doc").alias("doc"), *least)
     keys = [F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)]
-    return grouped.select("h1", "h2", "n", "doc", F.array(*keys).alias("keys"))
+    return hashed.groupBy("h1", "h2").agg(*least).select("h1", "h2", F.array(*keys).alias("keys"))
 
 
 def duplicate_lines(documents: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, list[str]]:
     """(h1, h2, root, doc) of every distinct line that occurs twice or has a near copy; doc: its component's smallest."""
     spark = documents.sparkSession
     lines = _lines(documents)
-    nodes, at_nodes = materialise(_nodes(lines).select("*", F.monotonically_increasing_id().alias("id")), "lines")
-    first = elect(nodes.select(F.explode("keys").alias("key"), "id"))
+    nodes, at_nodes = materialise(_distinct(lines).select("*", F.monotonically_increasing_id().alias("id")), "lines")
+    keyed = _nodes(nodes).join(nodes.select("h1", "h2", "id"), ["h1", "h2"])
+    first = elect(keyed.select(F.explode("keys").alias("key"), "id"))
 
     ids = first.pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted, at_wanted = materialise(ids.join(nodes.select("id", "h1", "h2"), "id"), "wanted")
-    own = lines.select("h1", "h2", "line").join(wanted, ["h1", "h2"])
-    distinct = own.groupBy("id").agg(F.first("line").alias("line"))
-    hashes = F.array_distinct(F.transform(shingles(F.col("line")), lambda g: F.xxhash64(g)))
-    sets, at_sets = materialise(distinct.select("id", hashes.alias("s")), "sets")
+    # The lines travel, not their sets: eight bytes a shingle would be many times the text.
+    texts, at_texts = materialise(ids.join(nodes.select("id", "line"), "id"), "texts")
+    hashes = lambda line: F.array_distinct(F.transform(shingles(line), lambda g: F.xxhash64(g)))
+
+    def alike(sets: Column) -> Column:
+        return let(F.size(F.array_intersect(sets["x"], sets["y"])), lambda both: both >= threshold * (F.size(sets["x"]) + F.size(sets["y"]) - both))
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
-        both = joined.select("a", "b", F.size(F.array_intersect("x", "y")).alias("both"), (F.size("x") + F.size("y")).alias("all"))
-        return both.where(F.col("both") >= threshold * (F.col("all") - F.col("both"))).select("a", "b")
+        left = texts.select(F.col("id").alias("a"), F.col("line").alias("x"))
+        right = texts.select(F.col("id").alias("b"), F.col("line").alias("y"))
+        sets = F.struct(hashes(F.col("x")).alias("x"), hashes(F.col("y")).alias("y"))
+        return pairs.join(left, "a").join(right, "b").where(let(sets, alike)).select("a", "b")
 
     table, at_table = linked(first, confirm)
-    for path in (*first.paths, at_wanted, at_sets):
+    for path in (*first.paths, at_texts):
         discard(spark, path)
 
     rooted = nodes.select("id", "h1", "h2", "n", "doc").join(table, "id", "left").where("n > 1 OR root IS NOT NULL")

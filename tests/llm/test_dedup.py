@@ -217,3 +217,13 @@ def test_near_copies_of_a_line(spark):
     rows = [(1, line + "end"), (2, line + "End"), (3, line.replace("jack", "jill", 1) + "end"), (4, "something else that is long enough to count")]
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1] == rows[0][1] and got[2] == "" and got[4] == rows[3][1]
+
+
+def test_one_character_more_in_unspaced_text(spark):
+    rnd = random.Random(5)
+    letters = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(400))
+    han = "".join(chr(0x4E00 + rnd.randrange(3000)) for _ in range(300))
+    prose = "the quick brown fox jumps over the lazy dog while seven wizards boil their magic potions"
+    rows = [(1, letters), (2, "x" + letters), (3, han), (4, han[:150] + "x" + han[150:]), (5, prose), (6, prose.replace("lazy", "lozy"))]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: letters, 2: "", 3: han, 4: "", 5: prose, 6: ""}
