@@ -14,8 +14,9 @@ the first one of its smallest doc_id.
 
 No broadcast is hinted: Catalyst broadcasts a side only below its own threshold.
 
-Defined results: lines of fewer than ``LEAST_CHARS`` characters (trimmed) always stay,
-as such lines repeat by chance; a null text stays null; an emptied document stays as a
+Defined results: lines of fewer than ``LEAST_CHARS`` characters (trimmed) have too few
+shingles to be near copies of each other; with ``short`` their exact repeats (trimmed and
+lower-cased) go, without it they always stay; blank lines stay; a null text stays null; an emptied document stays as a
 row with an empty text; rows that repeat a doc_id are one document, so what stays in one
 stays in all; null ids come first; extra columns are kept as they are.
 """
@@ -43,12 +44,12 @@ def shingles(line: Column) -> Column:
     return F.regexp_extract_all(line, F.lit(SHINGLES), F.lit(1))
 
 
-def _lines(documents: DataFrame) -> DataFrame:
-    """One row per line that takes part: doc, whole (the document's own key), pos, line, h1, h2."""
+def _lines(documents: DataFrame, short: bool = False) -> DataFrame:
+    """One row per line that takes part (with ``short`` all but blank ones): doc, whole (the document's own key), pos, line, h1, h2."""
     text = F.coalesce("text", F.lit(""))
     rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), text.alias("text"))
     keyed = rows.select("doc", F.xxhash64("doc", "text").alias("whole"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    long_enough = keyed.select("doc", "whole", "pos", normalised(F.col("line")).alias("line")).where(F.length("line") >= LEAST_CHARS)
+    long_enough = keyed.select("doc", "whole", "pos", normalised(F.col("line")).alias("line")).where(F.length("line") >= (1 if short else LEAST_CHARS))
     return long_enough.select("*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
@@ -68,12 +69,12 @@ def _nodes(lines: DataFrame) -> DataFrame:
     return hashed.groupBy("h1", "h2").agg(*least).select("h1", "h2", F.array(*keys).alias("keys"))
 
 
-def duplicate_lines(documents: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, list[str]]:
+def duplicate_lines(documents: DataFrame, threshold: float = THRESHOLD, short: bool = False) -> tuple[DataFrame, list[str]]:
     """(h1, h2, root, doc) of every distinct line that occurs twice or has a near copy; doc: its component's smallest."""
     spark = documents.sparkSession
-    lines = _lines(documents)
+    lines = _lines(documents, short)
     nodes, at_nodes = materialise(_distinct(lines).select("*", F.monotonically_increasing_id().alias("id")), "lines")
-    keyed = _nodes(nodes).join(nodes.select("h1", "h2", "id"), ["h1", "h2"])
+    keyed = _nodes(nodes.where(F.length("line") >= LEAST_CHARS)).join(nodes.select("h1", "h2", "id"), ["h1", "h2"])
     first = elect(keyed.select(F.explode("keys").alias("key"), "id"))
 
     ids = first.pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -103,19 +104,19 @@ def duplicate_lines(documents: DataFrame, threshold: float = THRESHOLD) -> tuple
     return found, [at_found]
 
 
-def cut_positions(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def cut_positions(documents: DataFrame, threshold: float = THRESHOLD, short: bool = False) -> DataFrame:
     """(whole, cut): for each document that loses lines, their positions."""
-    repeated, _ = duplicate_lines(documents, threshold)
-    rows = _lines(documents).select("doc", "whole", "pos", "h1", "h2").join(repeated.withColumnRenamed("doc", "keeper"), ["h1", "h2"])
+    repeated, _ = duplicate_lines(documents, threshold, short)
+    rows = _lines(documents, short).select("doc", "whole", "pos", "h1", "h2").join(repeated.withColumnRenamed("doc", "keeper"), ["h1", "h2"])
     hits, _ = materialise(rows.select("doc", "whole", "pos", "root", "keeper"), "hits")
     stays, _ = materialise(hits.where("doc = keeper").groupBy("root").agg(F.min("pos").alias("first")), "stays")
     marked = hits.join(stays, "root").where("NOT (doc = keeper AND pos = first)")
     return marked.groupBy("whole").agg(F.collect_set("pos").alias("cut"))
 
 
-def dedup_lines(documents: DataFrame, threshold: float = THRESHOLD, counts: bool = False) -> DataFrame:
-    """The rows of ``documents`` with repeated lines taken out of their texts; with ``counts`` also n_lines and n_cut."""
-    cuts, _ = materialise(cut_positions(documents, threshold), "cuts")
+def dedup_lines(documents: DataFrame, threshold: float = THRESHOLD, counts: bool = False, short: bool = False) -> DataFrame:
+    """The rows of ``documents`` with repeated lines taken out of their texts; with ``counts`` also n_lines and n_cut; ``short``: exact repeats of short lines too."""
+    cuts, _ = materialise(cut_positions(documents, threshold, short), "cuts")
     row = documents.select(F.struct(*(documents[c] for c in documents.columns)).alias("_row"))
     doc = F.coalesce(F.col("_row.doc_id").cast("long"), F.lit(NO_ID))
     keyed = row.select("_row", F.xxhash64(doc, F.coalesce(F.col("_row.text"), F.lit(""))).alias("whole"))

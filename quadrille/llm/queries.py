@@ -39,7 +39,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its repeated and nearly repeated lines taken out."""
     documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.dedup_lines(documents, counts=True)
+    return line_dedup.dedup_lines(documents, counts=True, short=True)
 
 
 def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from quadrille.llm import banding, line_dedup, near_dedup
+from quadrille.llm import banding, line_dedup, near_dedup, queries
 
 
 def find(parent, x):
@@ -227,3 +227,10 @@ def test_one_character_more_in_unspaced_text(spark):
     rows = [(1, letters), (2, "x" + letters), (3, han), (4, han[:150] + "x" + han[150:]), (5, prose), (6, prose.replace("lazy", "lozy"))]
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: letters, 2: "", 3: han, 4: "", 5: prose, 6: ""}
+
+
+def test_short_lines_repeat_exactly(spark, tmp_path):
+    rows = [(1, "Read more\n\nLes.\nRead mare"), (2, " read more \n\nnew\nLes."), (3, "更多\nabc"), (4, "更多\nabd")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.text, r.n_cut) for r in queries.op5_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("\nnew", 2), 3: (rows[2][1], 0), 4: ("abd", 1)}
