@@ -168,8 +168,8 @@ def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def classes(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id and class_id (smallest doc_id of the class): one row per row of ``documents``."""
+def _classed(documents: DataFrame, threshold: float) -> DataFrame:
+    """doc_id, h1, h2, blank (no words), root (null if blank) and class_id of every row of ``documents``."""
     spark = documents.sparkSession
     signed, at_signed = materialise(_signed(documents), "signed")
     contents = signed.where("bands IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("first"))
@@ -190,18 +190,34 @@ def classes(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     rooted = nodes.join(table, "id", "left").select("h1", "h2", "first", F.coalesce("root", "id").alias("root"))
     named, _ = materialise(rooted.groupBy("root").agg(F.min("first").alias("class_id")), "named")
-    by_content, _ = materialise(rooted.join(named, "root").select("h1", "h2", "class_id"), "classes")
+    by_content, _ = materialise(rooted.join(named, "root").select("h1", "h2", "root", "class_id"), "classes")
     discard(spark, at_nodes)
     for path in at_table:
         discard(spark, path)
     own = signed.select("doc_id", "h1", "h2", F.col("bands").isNull().alias("blank"))
-    found = own.join(by_content, ["h1", "h2"], "left")
-    return found.select("doc_id", F.when(F.col("blank"), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+    return own.join(by_content, ["h1", "h2"], "left")
+
+
+def classes(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id and class_id (smallest doc_id of the class): one row per row of ``documents``."""
+    return _classed(documents, threshold).select("doc_id", F.when(F.col("blank"), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
 def keep_one(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``documents`` whose id names their class; rows that repeat an id stay together."""
-    named = classes(documents, threshold)
-    gone, _ = materialise(named.where("NOT (doc_id <=> class_id)").select("doc_id").distinct(), "gone")
+    """Of each class the rows of its smallest doc_id (ids before null) and of one text of that id.
+
+    Rows equal in id and text are one document and stay together; texts without words all stay.
+    """
+    spark = documents.sparkSession
+    members, at_members = materialise(_classed(documents, threshold).where("NOT blank").select("root", "doc_id", "h1", "h2").distinct(), "members")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2")
+    first = members.groupBy("root").agg(F.min(place).alias("first"))
+    others = members.join(first, "root").where(~place.eqNullSafe(F.col("first")))
+    gone, _ = materialise(others.select(F.col("doc_id").alias("g0"), F.col("h1").alias("g1"), F.col("h2").alias("g2")), "gone")
+    discard(spark, at_members)
     key = [c for c in documents.columns if c.lower() == "doc_id"][0]
-    return documents.join(broadcast_if_small(gone, gone.count(), 16), documents[key] == gone["doc_id"], "left_anti")
+    row = documents.select(F.struct(*(documents[c] for c in documents.columns)).alias("_row"))
+    placed = row.select("_row", F.col(f"_row.{key}").cast("long").alias("_id"), *_hash_columns(F.coalesce("_row.text", F.lit(""))))
+    same = F.col("h1").eqNullSafe(F.col("g1")) & F.col("h2").eqNullSafe(F.col("g2")) & F.col("_id").eqNullSafe(F.col("g0"))
+    kept = placed.join(broadcast_if_small(gone, gone.count(), 48), same, "left_anti")
+    return kept.select(*(F.col("_row")[c].alias(c) for c in documents.columns))

@@ -154,6 +154,15 @@ def test_odd_documents(odd, none):
     assert near_dedup.classes(none).count() == 0 and near_dedup.keep_one(odd).count() == odd.count()
 
 
+def test_one_row_of_each_class_stays(spark):
+    """An id with two texts of which one is a copy, and copies without ids."""
+    a, b, c = (" ".join(f"{k}{i}" for i in range(100)) for k in "abc")
+    rows = [(1, a), (2, a), (2, b), (3, b), (None, c), (None, c + " more"), (None, b), (None, "")]
+    kept = near_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = Counter((r.doc_id, "c" if r.text.startswith("c") else r.text) for r in kept)
+    assert got == {(1, a): 1, (2, b): 1, (None, "c"): 1, (None, ""): 1}
+
+
 # -- lines
 
 
