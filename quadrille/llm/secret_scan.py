@@ -245,38 +245,45 @@ def scan(documents: DataFrame, rules=RULES) -> DataFrame:
     )
 
 
-def _redacted(text: Column, rule: Secret) -> Column:
-    """The text with the rule's secrets replaced by ``MASK``."""
+def _united(spans: Column) -> Column:
+    """The spans of all rules in order, overlapping ones united."""
+    none = F.array().cast("array<struct<start:long,stop:long>>")
+
+    def step(acc: Column, s: Column) -> Column:
+        last = F.get(acc, F.size(acc) - 1)
+        wider = F.struct(last["start"].alias("start"), F.greatest(last["stop"], s["stop"]).alias("stop"))
+        own = F.struct(s["start"].alias("start"), s["stop"].alias("stop"))
+        overlaps = (F.size(acc) > 0) & (s["start"] < last["stop"])
+        return F.when(overlaps, F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(wider))).otherwise(F.concat(acc, F.array(own)))
+
+    return F.aggregate(F.sort_array(spans), none, step)
+
+
+def _masked(text: Column, spans: Column) -> Column:
+    """The text with each span replaced by ``MASK``; what lies between spans stays."""
 
     def rebuild(parts: Column) -> Column:
-        shown = F.transform(
-            parts["m"],
-            lambda m, i: F.concat(F.when(F.length(F.get(parts["t"], i)) >= rule.least, F.lit(MASK)).otherwise(m), F.get(parts["g"], i + 1)),
-        )
-        return F.concat(F.get(parts["g"], F.lit(0)), F.array_join(shown, ""))
+        piece = lambda begin, length: F.substring(text, (begin + 1).cast("int"), length.cast("int"))
+        begins = lambda i: F.coalesce(F.get(parts, i - 1)["stop"], F.lit(0).cast("long"))
+        shown = F.transform(parts, lambda s, i: F.concat(piece(begins(i), s["start"] - begins(i)), F.lit(MASK)))
+        end = begins(F.size(parts))
+        return F.concat(F.array_join(shown, ""), piece(end, F.length(text) - end))
 
-    pattern = F.lit(rule.regex)
-    parts = F.struct(
-        F.regexp_extract_all(text, pattern, F.lit(0)).alias("m"),
-        F.split(text, rule.regex, -1).alias("g"),
-        F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("t"),
-    )
-    return let(parts, rebuild)
+    return let(spans, rebuild)
 
 
 def redact(documents: DataFrame, rules=RULES) -> DataFrame:
     """``documents`` with every secret of its texts masked; null texts stay null, other columns as they are.
 
-    Rules apply one after the other, so a span that overlaps an earlier rule's secret is masked with it.
+    The spans are those of ``scan``, on the text as it was; overlapping ones are one mask.
     """
     index = TrigramIndex(rules)
     row = documents.select(F.struct(*(documents[c] for c in documents.columns)).alias("_row"))
     work = row.select("_row", F.col("_row.text").alias("_text")).select("_row", "_text", *index.postings(F.lower("_text")))
-    # Whole formats first, else a run of hex digits would be cut out of a longer credential. The
-    # postings stay valid: a mask adds no trigram that a rule asks for.
-    for rule in (*rules[len(BASE) :], *rules[: len(BASE)]) if rules[: len(BASE)] == BASE else rules:
-        clean = F.when(index.holds(index.queries[rule.kind]) & F.rlike("_text", F.lit(rule.regex)), _redacted(F.col("_text"), rule))
-        work = work.withColumn("_text", F.coalesce(clean, F.col("_text")))
-    columns = [F.col("_text").alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in documents.columns]
-    return work.select(*columns)
-
+    none = F.array().cast(SPAN)
+    text = F.col("_text")
+    spans = F.concat(*(F.when(index.holds(index.queries[r.kind]) & F.rlike(text, F.lit(r.regex)), _spans(text, r, i)).otherwise(none) for i, r in enumerate(rules)))
+    found = work.select("_row", "_text", spans.alias("_found"))
+    clean = F.when(F.size("_found") > 0, _masked(text, _united(F.col("_found")))).otherwise(text)
+    columns = [clean.alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in documents.columns]
+    return found.select(*columns)

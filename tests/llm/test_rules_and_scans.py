@@ -123,6 +123,13 @@ def test_redaction(spark, odd):
     assert secret_scan.redact(odd.limit(0)).count() == 0
 
 
+def test_overlapping_secrets_are_one_mask(spark):
+    mask, key = secret_scan.MASK, "AIza" + "Sy0aB1cD2eF3gH4iJ5kL6mN7oP8qR9sT0uV"
+    text = f"é😀 token={key}XYZ9876543 and then {key} end"
+    got = {r.doc_id: r.text for r in secret_scan.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()}
+    assert len(key) == 39 and got[1] == f"é😀 {mask} and then {mask} end"
+
+
 def test_license_units_and_bounds(spark, odd, none):
     mit = license_scan.TEMPLATES[3][1]
     wrapped = "\n".join(" ".join(mit.split()[i : i + 9]) for i in range(0, len(mit.split()), 9))
