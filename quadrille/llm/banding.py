@@ -36,24 +36,21 @@ def candidate_pairs(members: DataFrame) -> tuple[DataFrame, list[str]]:
 def elect(members: DataFrame) -> Election:
     """The first pairs (a < b) to verify, from rows (key, id).
 
-    A bucket's members are all compared with up to four of them, its leaders, so the pairs grow
-    with the members and not with their square: the smallest id, the member that shares the
-    most places in buckets overall (in a group of near copies, the one closest to the rest),
-    and two chosen by hashes that differ from bucket to bucket. ``linked`` compares the rest.
+    A bucket's members are all compared with one or two of them, its leaders, so the pairs grow
+    with the members and not with their square: the smallest id, and the member that shares the
+    most places in buckets overall (in a group of near copies, the one closest to the rest).
+    ``linked`` compares the rest.
     """
     spark = members.sparkSession
     sizes = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared, at_shared = materialise(members.join(sizes, "key"), "shared")
     centre, at_centre = materialise(shared.groupBy("id").agg(F.sum("n").alias("places")), "centre")
-    # The two hashes and the places are packed with the id's rank into structs, one row per key and task.
     led = shared.join(centre, "id").groupBy("key").agg(
         F.min("id").alias("first"),
         F.max(F.struct("places", "id")).alias("central"),
-        F.min(F.struct(F.xxhash64("id", "key").alias("h"), "id")).alias("one"),
-        F.max(F.struct(F.xxhash64("id", "key").alias("h"), "id")).alias("two"),
     )
     leaders, at_leaders = materialise(
-        led.select("key", F.array_distinct(F.array("first", "central.id", "one.id", "two.id")).alias("leaders")), "leaders"
+        led.select("key", F.array_distinct(F.array("first", "central.id")).alias("leaders")), "leaders"
     )
     each = shared.join(leaders, "key").select("id", F.explode("leaders").alias("leader")).where("id <> leader")
     pairs = each.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()

@@ -54,6 +54,21 @@ def discard(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """All columns of ``df``, of any name, as one struct ``_row``: no helper column can clash with them."""
+    return df.select(F.struct(*(F.col(quoted(c)).alias(c) for c in df.columns)).alias("_row"))
+
+
+def unpacked(df: DataFrame, **changed: Column) -> list[Column]:
+    """The columns of ``df`` again from ``_row``, those of ``changed`` replaced."""
+    row = F.col("_row")
+    return [changed.get(c.lower(), row.getField(c)).alias(c) for c in df.columns]
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once per row, inside lambdas too."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -1,24 +1,26 @@
 """Fuzzy line dedup by MinHash, in DataFrame operations only.
 
 A line is trimmed and lower-cased, and is the set of its character shingles: the five
-characters from every offset. An inserted or deleted character changes the shingles that
-hold it and no others, in spaced and in unspaced text.
-
-Equal lines are one row before anything is cut into shingles. Forty-eight minimum hashes per
-distinct line come from one aggregation over the exploded shingles. Twelve bands of four
-(0.998 of the pairs at similarity 0.8, over 0.9999 at 0.9) make candidates: short shingles
-are shared by chance, and fewer hashes to a band would put unlike lines into one bucket. The
-exact Jaccard similarity of the shingle sets decides, and connected components of the
-confirmed pairs are found by distributed label passing. Of each component one line stays:
-the first one of its smallest doc_id.
+characters from every offset (a shorter line is one shingle). An inserted or deleted
+character changes the shingles that hold it and no others, in spaced and unspaced text.
+
+Equal lines are one row before anything is cut into shingles. Candidates come from MinHash
+bands over wider shingles of nine characters, also at every offset, since short ones are
+shared by chance: twelve bands of three minima. Every shingle is hashed; the minima of a
+long line are taken over those whose hash falls below a limit that leaves about ``SAMPLE``
+of them, the same ones in any line that holds them. Lines of so few different shingles that
+the limit leaves almost none get minima over all shingles of both widths too, and lines of up
+to ``SHORT`` characters minima over their five-character shingles, in bands of their own.
+The exact Jaccard similarity of the five-character sets of both whole lines decides, and
+connected components of the confirmed pairs are found by distributed label passing. Of each
+component one line stays: the first one of its smallest doc_id.
 
 No broadcast is hinted: Catalyst broadcasts a side only below its own threshold.
 
-Defined results: lines of fewer than ``LEAST_CHARS`` characters (trimmed) have too few
-shingles to be near copies of each other; with ``short`` their exact repeats (trimmed and
-lower-cased) go, without it they always stay; blank lines stay; a null text stays null; an emptied document stays as a
+Defined results: blank lines stay; a null text stays null; an emptied document stays as a
 row with an empty text; rows that repeat a doc_id are one document, so what stays in one
-stays in all; null ids come first; extra columns are kept as they are.
+stays in all; null ids come first; an empty table gives an empty one; extra columns of any
+name are kept as they are.
 """
 
 from __future__ import annotations
@@ -27,30 +29,49 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .banding import elect, linked
-from .common import discard, let, materialise
+from .common import broadcast_if_small, discard, let, materialise, packed, unpacked
 
-THRESHOLD, LEAST_CHARS = 0.8, 24
-BANDS, ROWS = 12, 4
-SHINGLES = r"(?s)(?=(.{5}))."
+THRESHOLD = 0.8
+SHINGLE, WIDE, SHORT = 5, 9, 40
+BANDS, ROWS = 12, 3
+#: Shingles that a line's minima are taken over, about; below so many different ones the line gets minima over all, too.
+SAMPLE, FEWEST = 32, 8
 NO_ID = -(2**63)
+SPACES = "\t\r\x0b\f"
 
 
 def normalised(line: Column) -> Column:
-    return F.lower(F.btrim(line, F.lit(" \t\r\x0b\f")))
+    """A lower-cased line without white space at its ends."""
+    bare = F.trim(line)
+    edge = F.lit(False)
+    for c in SPACES:
+        edge = edge | F.startswith(bare, F.lit(c)) | F.endswith(bare, F.lit(c))
+    return F.when(edge, F.btrim(bare, F.lit(" " + SPACES))).otherwise(bare)
+
+
+def _offsets(octets: Column, width: Column | int) -> Column:
+    """Where the shingles of a line begin in its UTF-32 bytes, from 1."""
+    return F.sequence(F.lit(1), F.greatest(F.lit(1), octets - 4 * width + 1), F.lit(4))
 
 
 def shingles(line: Column) -> Column:
-    """Array of the shingles of a normalised line, repeats included."""
-    return F.regexp_extract_all(line, F.lit(SHINGLES), F.lit(1))
+    """Distinct hashes of the five-character shingles of a normalised line."""
+    hashed = lambda b: F.transform(_offsets(F.octet_length(b), SHINGLE), lambda i: F.xxhash64(F.substring(b, i, F.lit(4 * SHINGLE))))
+    return F.array_distinct(let(F.encode(line, "UTF-32"), hashed))
 
 
-def _lines(documents: DataFrame, short: bool = False) -> DataFrame:
-    """One row per line that takes part (with ``short`` all but blank ones): doc, whole (the document's own key), pos, line, h1, h2."""
+def _lines(documents: DataFrame) -> DataFrame:
+    """One row per line that is not blank: doc, w1, w2 (the document's own key), pos, line, h1, h2."""
     text = F.coalesce("text", F.lit(""))
     rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), text.alias("text"))
-    keyed = rows.select("doc", F.xxhash64("doc", "text").alias("whole"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    long_enough = keyed.select("doc", "whole", "pos", normalised(F.col("line")).alias("line")).where(F.length("line") >= (1 if short else LEAST_CHARS))
-    return long_enough.select("*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+    keyed = rows.select("doc", *_whole(F.col("doc"), F.col("text")), F.posexplode(F.split(F.lower("text"), "\n")).alias("pos", "line"))
+    lines = keyed.select("doc", "w1", "w2", "pos", normalised(F.col("line")).alias("line")).where("line <> ''")
+    return lines.select("*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+
+
+def _whole(doc: Column, text: Column) -> tuple[Column, Column]:
+    """128 bits that stand for a document."""
+    return F.xxhash64(doc, text).alias("w1"), F.xxhash64(F.lit(1), doc, text).alias("w2")
 
 
 def _distinct(lines: DataFrame) -> DataFrame:
@@ -58,41 +79,55 @@ def _distinct(lines: DataFrame) -> DataFrame:
     return lines.groupBy("h1", "h2", "line").agg(F.count("*").alias("n"), F.min("doc").alias("doc"))
 
 
-def _nodes(lines: DataFrame) -> DataFrame:
-    """The band keys of every line that has shingles, beside its h1 and h2."""
-    hashed = lines.select("h1", "h2", F.explode(shingles(F.col("line"))).alias("gram")).select("h1", "h2", F.xxhash64("gram").alias("s"))
-    # XOR with a constant is a one-to-one map of the hashes: each constant is a hash function of its own.
-    masks = [(i + 1) * 0x9E3779B97F4A7C15 % 2**64 for i in range(BANDS * ROWS)]
-    masks = [m - 2**64 if m >= 2**63 else m for m in masks]
-    least = [F.min(F.col("s").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(masks)]
-    keys = [F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)]
-    return hashed.groupBy("h1", "h2").agg(*least).select("h1", "h2", F.array(*keys).alias("keys"))
-
-
-def duplicate_lines(documents: DataFrame, threshold: float = THRESHOLD, short: bool = False) -> tuple[DataFrame, list[str]]:
+def _signed(nodes: DataFrame, whole: bool = False) -> DataFrame:
+    """id, width, keys (of the bands) and found (different minima) of every line, one row per width of its shingles; ``whole``: without the limit."""
+    both, wide = F.array(F.lit(WIDE), F.lit(SHINGLE)), F.array(F.lit(WIDE))
+    widths = both if whole else F.when(F.col("chars") <= SHORT, both).otherwise(wide)
+    kinds = nodes.select("id", F.encode("line", "UTF-32").alias("b"), F.explode(widths).alias("width"))
+    n = F.greatest(F.shiftright(F.octet_length("b"), 2) - F.col("width") + 1, F.lit(1))
+    each = kinds.select("id", "b", "width", n.alias("n"), F.explode(_offsets(F.octet_length("b"), F.col("width"))).alias("i"))
+    hashed = each.select("id", "width", "n", F.xxhash64(F.substring(F.col("b"), F.col("i"), 4 * F.col("width"))).alias("s"))
+    if not whole:  # the upper 31 bits, as a share of all, below SAMPLE / n
+        hashed = hashed.where(F.shiftrightunsigned("s", 33) * F.col("n") < SAMPLE << 31)
+    # Each hash function is a one-to-one map of the hashes: a shift, that no two of a band share, and a mask.
+    maps = []
+    for i in range(BANDS * ROWS):
+        mask = (i + 1) * 0x9E3779B97F4A7C15 % 2**64
+        by, m = 32 + 7 * i % 23, F.lit(mask - 2**64 if mask >= 2**63 else mask)
+        moved = lambda x, by=by: x.bitwiseXOR(F.shiftleft(x, by))  # noqa: E731  its own inverse, as by is 32 or more
+        maps.append((lambda x, moved=moved, m=m: moved(x).bitwiseXOR(m), lambda y, moved=moved, m=m: moved(y.bitwiseXOR(m))))
+    least = hashed.groupBy("id", "width").agg(*(F.min(to(F.col("s"))).alias(f"m{i}") for i, (to, _) in enumerate(maps)))
+    kind = F.col("width") + (100 if whole else 0)
+    keys = [F.xxhash64(kind, F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)]
+    return least.select("id", "width", F.array(*keys).alias("keys"), F.size(F.array_distinct(F.array(*(back(F.col(f"m{i}")) for i, (_, back) in enumerate(maps))))).alias("found"))
+
+
+def duplicate_lines(documents: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, list[str]]:
     """(h1, h2, root, doc) of every distinct line that occurs twice or has a near copy; doc: its component's smallest."""
     spark = documents.sparkSession
-    lines = _lines(documents, short)
-    nodes, at_nodes = materialise(_distinct(lines).select("*", F.monotonically_increasing_id().alias("id")), "lines")
-    keyed = _nodes(nodes.where(F.length("line") >= LEAST_CHARS)).join(nodes.select("h1", "h2", "id"), ["h1", "h2"])
+    nodes, at_nodes = materialise(_distinct(_lines(documents)).select("*", F.length("line").alias("chars"), F.monotonically_increasing_id().alias("id")), "lines")
+    signed, at_signed = materialise(_signed(nodes), "signed")
+    # Repetitive lines: few shingles were below the limit, or none.
+    enough = signed.where((F.col("width") == WIDE) & (F.col("found") >= FEWEST)).select("id")
+    lacking, at_lacking = materialise(nodes.select("id").join(enough, "id", "left_anti"), "lacking")
+    redone = nodes.join(broadcast_if_small(lacking, lacking.count(), 16), "id")
+    keyed, at_keyed = materialise(signed.select("id", "keys").unionByName(_signed(redone, True).select("id", "keys")), "keyed")
     first = elect(keyed.select(F.explode("keys").alias("key"), "id"))
 
     ids = first.pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     # The lines travel, not their sets: eight bytes a shingle would be many times the text.
-    texts, at_texts = materialise(ids.join(nodes.select("id", "line"), "id"), "texts")
-    hashes = lambda line: F.array_distinct(F.transform(shingles(line), lambda g: F.xxhash64(g)))
-
-    def alike(sets: Column) -> Column:
-        return let(F.size(F.array_intersect(sets["x"], sets["y"])), lambda both: both >= threshold * (F.size(sets["x"]) + F.size(sets["y"]) - both))
+    chosen = ids.join(nodes.select("id", "line"), "id")
+    texts, at_texts = materialise(chosen.select("id", "line", F.size(shingles(F.col("line"))).alias("size")), "texts")
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        left = texts.select(F.col("id").alias("a"), F.col("line").alias("x"))
-        right = texts.select(F.col("id").alias("b"), F.col("line").alias("y"))
-        sets = F.struct(hashes(F.col("x")).alias("x"), hashes(F.col("y")).alias("y"))
-        return pairs.join(left, "a").join(right, "b").where(let(sets, alike)).select("a", "b")
+        left = texts.select(F.col("id").alias("a"), F.col("line").alias("x"), F.col("size").alias("m"))
+        right = texts.select(F.col("id").alias("b"), F.col("line").alias("y"), F.col("size").alias("n"))
+        both = F.size(F.array_intersect(shingles(F.col("x")), shingles(F.col("y"))))
+        sized = pairs.join(left, "a").join(right, "b").where(F.least("m", "n") >= threshold * F.greatest("m", "n"))
+        return sized.select("a", "b", "m", "n", both.alias("both")).where(F.col("both") >= threshold * (F.col("m") + F.col("n") - F.col("both"))).select("a", "b")
 
     table, at_table = linked(first, confirm)
-    for path in (*first.paths, at_texts):
+    for path in (*first.paths, at_texts, at_signed, at_lacking, at_keyed):
         discard(spark, path)
 
     rooted = nodes.select("id", "h1", "h2", "n", "doc").join(table, "id", "left").where("n > 1 OR root IS NOT NULL")
@@ -104,28 +139,30 @@ def duplicate_lines(documents: DataFrame, threshold: float = THRESHOLD, short: b
     return found, [at_found]
 
 
-def cut_positions(documents: DataFrame, threshold: float = THRESHOLD, short: bool = False) -> DataFrame:
-    """(whole, cut): for each document that loses lines, their positions."""
-    repeated, _ = duplicate_lines(documents, threshold, short)
-    rows = _lines(documents, short).select("doc", "whole", "pos", "h1", "h2").join(repeated.withColumnRenamed("doc", "keeper"), ["h1", "h2"])
-    hits, _ = materialise(rows.select("doc", "whole", "pos", "root", "keeper"), "hits")
-    stays, _ = materialise(hits.where("doc = keeper").groupBy("root").agg(F.min("pos").alias("first")), "stays")
+def cut_positions(documents: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, list[str]]:
+    """(w1, w2, cut): for each document that loses lines, their positions; and the paths to discard."""
+    spark = documents.sparkSession
+    repeated, at_repeated = duplicate_lines(documents, threshold)
+    rows = _lines(documents).select("doc", "w1", "w2", "pos", "h1", "h2").join(repeated.withColumnRenamed("doc", "keeper"), ["h1", "h2"])
+    hits, at_hits = materialise(rows.select("doc", "w1", "w2", "pos", "root", "keeper"), "hits")
+    stays = hits.where("doc = keeper").groupBy("root").agg(F.min("pos").alias("first"))
     marked = hits.join(stays, "root").where("NOT (doc = keeper AND pos = first)")
-    return marked.groupBy("whole").agg(F.collect_set("pos").alias("cut"))
+    cuts, at_cuts = materialise(marked.groupBy("w1", "w2").agg(F.collect_set("pos").alias("cut")), "cuts")
+    for path in (*at_repeated, at_hits):
+        discard(spark, path)
+    return cuts, [at_cuts]
 
 
-def dedup_lines(documents: DataFrame, threshold: float = THRESHOLD, counts: bool = False, short: bool = False) -> DataFrame:
-    """The rows of ``documents`` with repeated lines taken out of their texts; with ``counts`` also n_lines and n_cut; ``short``: exact repeats of short lines too."""
-    cuts, _ = materialise(cut_positions(documents, threshold, short), "cuts")
-    row = documents.select(F.struct(*(documents[c] for c in documents.columns)).alias("_row"))
+def dedup_lines(documents: DataFrame, threshold: float = THRESHOLD, counts: bool = False) -> DataFrame:
+    """The rows of ``documents`` with repeated lines taken out of their texts; with ``counts`` also n_lines and n_cut."""
+    cuts, _ = cut_positions(documents, threshold)
     doc = F.coalesce(F.col("_row.doc_id").cast("long"), F.lit(NO_ID))
-    keyed = row.select("_row", F.xxhash64(doc, F.coalesce(F.col("_row.text"), F.lit(""))).alias("whole"))
+    keyed = packed(documents).select("_row", *_whole(doc, F.coalesce(F.col("_row.text"), F.lit(""))))
     # The cuts grow with the documents: a plan that broadcasts them would only hold for small tables.
-    found = keyed.join(cuts.hint("merge"), "whole", "left")
+    found = keyed.join(cuts.hint("merge"), ["w1", "w2"], "left")
     lines = F.split(F.col("_row.text"), "\n")
     parts = found.select("_row", "cut", lines.alias("_lines"))
     kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "cut")
     text = F.when(F.col("cut").isNull(), F.col("_row.text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("_lines"), i)), "\n"))
-    columns = [text.alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in documents.columns]
     added = (F.greatest(F.size("_lines"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("cut"), F.lit(0)).cast("long").alias("n_cut"))
-    return parts.select(*columns, *(added if counts else ()))
+    return parts.select(*unpacked(documents, text=text), *(added if counts else ()))

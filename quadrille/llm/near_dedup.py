@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .banding import elect, linked
-from .common import broadcast_if_small, discard, materialise
+from .common import broadcast_if_small, discard, materialise, packed, unpacked
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 16, 4
@@ -215,9 +215,7 @@ def keep_one(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     others = members.join(first, "root").where(~place.eqNullSafe(F.col("first")))
     gone, _ = materialise(others.select(F.col("doc_id").alias("g0"), F.col("h1").alias("g1"), F.col("h2").alias("g2")), "gone")
     discard(spark, at_members)
-    key = [c for c in documents.columns if c.lower() == "doc_id"][0]
-    row = documents.select(F.struct(*(documents[c] for c in documents.columns)).alias("_row"))
-    placed = row.select("_row", F.col(f"_row.{key}").cast("long").alias("_id"), *_hash_columns(F.coalesce("_row.text", F.lit(""))))
+    placed = packed(documents).select("_row", F.col("_row.doc_id").cast("long").alias("_id"), *_hash_columns(F.coalesce("_row.text", F.lit(""))))
     same = F.col("h1").eqNullSafe(F.col("g1")) & F.col("h2").eqNullSafe(F.col("g2")) & F.col("_id").eqNullSafe(F.col("g0"))
     kept = placed.join(broadcast_if_small(gone, gone.count(), 48), same, "left_anti")
-    return kept.select(*(F.col("_row")[c].alias(c) for c in documents.columns))
+    return kept.select(*unpacked(documents))

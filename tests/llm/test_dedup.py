@@ -1,5 +1,4 @@
 import random
-import re
 from collections import Counter
 
 import numpy as np
@@ -166,14 +165,18 @@ def test_one_row_of_each_class_stays(spark):
 # -- lines
 
 
+def every_shingle(line):
+    return frozenset(line[i : i + 5] for i in range(max(1, len(line) - 4)))
+
+
 def lines_by_brute_force(rows):
     where, parent = {}, {}
     for doc, text in rows:
         for pos, line in enumerate((text or "").split("\n")):
             line = line.strip(" \t\r\x0b\f").lower()
-            if len(line) >= line_dedup.LEAST_CHARS:
+            if line:
                 where.setdefault(line, []).append((doc, pos))
-    sets = {x: frozenset(re.findall(line_dedup.SHINGLES, x)) for x in where}
+    sets = {x: every_shingle(x) for x in where}
     parent = {x: x for x in where}
     names = list(where)
     for i, a in enumerate(names):
@@ -211,7 +214,8 @@ def test_lines_against_brute_force(spark):
 
 
 def test_lines_run_without_python(spark, documents):
-    plan = line_dedup._nodes(line_dedup._lines(documents))._jdf.queryExecution().executedPlan().toString()
+    nodes = line_dedup._distinct(line_dedup._lines(documents)).selectExpr("*", "monotonically_increasing_id() AS id")
+    plan = line_dedup._signed(nodes)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 
@@ -243,3 +247,48 @@ def test_short_lines_repeat_exactly(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: (r.text, r.n_cut) for r in queries.op5_line_dedup(spark, str(tmp_path)).collect()}
     assert got == {1: (rows[0][1], 0), 2: ("\nnew", 2), 3: (rows[2][1], 0), 4: ("abd", 1)}
+    kept = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {k: v for k, (v, _) in got.items()}
+
+
+def test_recall_of_edited_lines(spark):
+    """Pairs of a line and its edits that reach 0.8 by all five-character shingles, of any length: at least 0.95 in one class."""
+    rnd = random.Random(12)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    lines = sorted({x.strip().lower() for t in texts if t for x in t.split("\n")} - {""})
+    chosen = [x for x in rnd.sample(lines, 1500) if len(x) < 3000]
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    pairs = []
+    for x in chosen:
+        y = list(x)
+        for _ in range(rnd.choice((1, 1, 2, max(1, len(x) // 60)))):
+            at, kind = rnd.randrange(len(y)), rnd.randrange(3)
+            y[at : at + (kind > 0)] = [rnd.choice(letters)] if kind < 2 else []
+            y = y or ["a"]
+        y = "".join(y).strip()
+        a, b = every_shingle(x), every_shingle(y)
+        if y and y != x and len(a & b) >= 0.8 * len(a | b):
+            pairs.append((x, y))
+    assert len(pairs) > 800
+    docs = spark.createDataFrame([(i, "\n".join(p)) for i, p in enumerate(pairs)], "doc_id long, text string").repartition(4)
+    found, _ = line_dedup.duplicate_lines(docs)
+    roots = {r.line: r.root for r in line_dedup._distinct(line_dedup._lines(docs)).join(found, ["h1", "h2"]).select("line", "root").collect()}
+    caught = sum(a in roots and roots[a] == roots.get(b) for a, b in pairs)
+    print("recall", caught / len(pairs), len(pairs))
+    assert caught >= 0.95 * len(pairs)
+
+
+def test_repetitive_lines(spark):
+    """Lines of few different shingles: any limit may leave none of them."""
+    rows = [(i, "=-" * n + tail) for i, (n, tail) in enumerate([(40, ""), (400, ""), (1000, "="), (900, "a line after it")])]
+    rows += [(10 + i, c * n) for i, (c, n) in enumerate([("_", 30), ("_", 3000), ("ab", 700), ("ba", 500), ("abcdefghijk", 300), ("cdefghijkab", 200)])]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i for i, t in got.items() if t} == {0, 3, 10, 12, 14}
+
+
+def test_columns_of_any_name(spark):
+    rows = [(1, "a line that stays\nand one more", 5, "x", 6, 7), (2, "a line that stays", 5, "y", 6, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int, _row string, line int, `c``d` int")
+    for got in (line_dedup.dedup_lines(df), near_dedup.keep_one(df)):
+        assert got.columns == df.columns and got.count() == 2
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()} == {1: rows[0][1], 2: ""}
