@@ -11,13 +11,13 @@ from dataclasses import replace
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..terms import BLANK, BOOLEAN, DATE, DATETIME, DECIMAL, DOUBLE, FLOAT, INTEGER, INTEGER_TYPES, IRI, LANGSTRING, LITERAL, STRING, Blank, Iri, Literal, Variable, node, term_column
+from ..terms import BLANK, BOOLEAN, DATE, DATETIME, DECIMAL, DOUBLE, FLOAT, INTEGER, INTEGER_TYPES, IRI, LANGSTRING, LITERAL, STRING, Blank, Iri, Literal, Variable, key_form, node, term_column
 from . import values as V
 from .values import ANY_SPEC, Spec, Val
 
 #: Least and most arguments (None: any number) of every function.
 ARITY: dict[str, tuple[int, int | None]] = {
-    **dict.fromkeys("STR LANG DATATYPE IRI ABS CEIL FLOOR ROUND STRLEN UCASE LCASE ENCODE_FOR_URI BOUND".split(), (1, 1)),
+    **dict.fromkeys("STR LANG DATATYPE IRI ABS CEIL FLOOR ROUND STRLEN UCASE LCASE ENCODE_FOR_URI ENCODE_FOR_IRI BOUND".split(), (1, 1)),
     **dict.fromkeys("YEAR MONTH DAY HOURS MINUTES SECONDS TIMEZONE TZ MD5 SHA1 SHA256 SHA384 SHA512".split(), (1, 1)),
     **dict.fromkeys("ISIRI ISBLANK ISLITERAL ISNUMERIC".split(), (1, 1)),
     **dict.fromkeys("LANGMATCHES CONTAINS STRSTARTS STRENDS STRBEFORE STRAFTER STRLANG STRDT SAMETERM".split(), (2, 2)),
@@ -231,20 +231,20 @@ def _whole(fn):
 
 
 def keyed_blank(args: list[Val]) -> Val:
-    """The blank node that values key: see ``terms.blank_label``."""
-    if len(args) > 1:
-        parts = [F.concat(F.length(a.text()).cast("string"), F.lit(":"), a.text()) for a in args]
-        joined = F.concat(*[x for i, p in enumerate(parts) for x in ((F.lit("\x1f"), p) if i else (p,))])
-        return Val(Spec("blank"), F.concat(F.lit("b"), F.md5(joined)))
-    v = args[0]
-    if v.kind == "blank":
-        return v
-    text = v.text()
-    if v.kind == "lit" and v.spec.plain:
-        other = F.concat(F.lit("str:'"), text, F.lit("'"))
-        return Val(Spec("blank"), F.when(text.rlike(r"^[A-Za-z0-9_][A-Za-z0-9_\-]*$"), text).otherwise(F.concat(F.lit("b"), F.md5(other))))
-    named = {INTEGER: "int", DOUBLE: "float", BOOLEAN: "bool", DECIMAL: "Decimal"}.get(v.spec.dt, v.spec.dt or v.kind)
-    return Val(Spec("blank"), F.concat(F.lit("b"), F.md5(F.concat(F.lit(named + ":"), text))))
+    """The blank node that values key, with the label of ``terms.blank_label``."""
+    from ..sources.rdf_text import n3
+
+    if len(args) == 1 and args[0].kind == "blank":
+        return args[0]
+    forms = [F.lit(key_form(a.const)) if a.const is not None else n3(a.term()) for a in args]
+    whole = forms[0]
+    for form in forms[1:]:
+        whole = F.concat(whole, F.lit(" "), form)
+    label = F.concat(F.lit("k"), F.substring(F.sha2(whole, 256), 1, 40))
+    if len(args) == 1 and args[0].kind == "any":
+        term = args[0].term()
+        label = F.when(term["k"] == BLANK, term["v"]).otherwise(label)
+    return Val(Spec("blank"), label)
 
 
 def cast(v: Val, target: str) -> Val:
@@ -318,7 +318,8 @@ FUNCTIONS = {
     "STRAFTER": _after,
     "REGEX": lambda a: V.boolean(F.rlike(string_of(a[0]), _pattern(a[1], _flags(a[2] if len(a) > 2 else None)))),
     "REPLACE": lambda a: tagged(a[0], F.regexp_replace(string_of(a[0]), _pattern(a[1], _flags(a[3] if len(a) > 3 else None)), string_of(a[2]))),
-    "ENCODE_FOR_URI": lambda a: V.literal(encode_iri(string_of(a[0]))),
+    "ENCODE_FOR_IRI": lambda a: V.literal(encode_iri(string_of(a[0]))),
+    "ENCODE_FOR_URI": lambda a: V.literal(encode_uri(string_of(a[0]))),
     "ABS": lambda a: V.numeric_map(a[0], lambda x, r: F.abs(x)),
     "CEIL": lambda a: V.numeric_map(a[0], _whole(F.ceil)),
     "FLOOR": lambda a: V.numeric_map(a[0], _whole(F.floor)),

@@ -1,6 +1,6 @@
 """Transitive property paths by semi-naive iteration.
 
-Each round joins only the pairs that the last round found, and writes what is new to the
+Each round joins only the pairs that the last round found with all so far, and writes what is new to the
 shared folder, so the plan stays short and a lost executor costs one round at most. With
 one end constant, the search starts there and only nodes are kept.
 """
@@ -28,11 +28,14 @@ def reach(edges: DataFrame, first: DataFrame) -> DataFrame:
 
 
 def all_pairs(edges: DataFrame) -> DataFrame:
-    """The transitive closure of ``edges`` (x, y)."""
+    """The transitive closure of ``edges`` (x, y), in rounds that double the length of the paths.
+
+    A shortest path of up to twice the length begins with one that the last round found.
+    """
     new = edges
     found = new
     while not new.isEmpty():
-        hop = edges.select(F.col("x").alias("y"), F.col("y").alias("z"))
+        hop = found.select(F.col("x").alias("y"), F.col("y").alias("z"))
         step = new.join(hop, "y").select("x", F.col("z").alias("y")).distinct()
         new = settle(step.join(found, ["x", "y"], "left_anti"), "pairs")
         found = found.unionAll(new)

@@ -9,7 +9,7 @@ put so that each is connected to one before it where that is possible.
 
 from __future__ import annotations
 
-from dataclasses import replace
+from dataclasses import fields, is_dataclass, replace
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +33,40 @@ def variables_of(e) -> set[str]:
     return set()
 
 
+def mentioned(x) -> set[str]:
+    """Names of all variables in a group or an element of one, but for subqueries: their own scope hides the outer one."""
+    if isinstance(x, Variable):
+        return {x.name}
+    if isinstance(x, tuple | list):
+        return set() if x and x[0] == "subquery" else set().union(*map(mentioned, x)) if x else set()
+    if is_dataclass(x):
+        return set().union(*(mentioned(getattr(x, f.name)) for f in fields(x)))
+    return set()
+
+
+def needed(expressions) -> set[str]:
+    """The variables that expressions read; a test inside them reads all that its group mentions."""
+    out = set()
+    for e in expressions:
+        for x in _walk(e):
+            out |= mentioned(x.group) if isinstance(x, Exists) else {x.name} if isinstance(x, Variable) else set()
+    return out
+
+
+def read_within(group: Group) -> set[str]:
+    """What filters and BINDs of a group read, those of the groups inside it too."""
+    out = set()
+    for kind, *args in group.elements:
+        if kind == "filter":
+            out |= needed(args)
+        elif kind == "bind":
+            out |= needed(args[1:])
+        elif kind != "subquery":
+            inner = [y for x in args for y in (x if isinstance(x, tuple | list) else [x]) if isinstance(y, Group)]
+            out |= set().union(*map(read_within, inner)) if inner else set()
+    return out
+
+
 def _walk(e):
     """The expression and all parts of it."""
     yield e
@@ -58,6 +92,8 @@ class Evaluator:
         self.spark, self.default, self.named, self.params = spark, default, named or {}, params or {}
         self.graph = default
         self.count = 0
+        #: Inside EXISTS: the outer solutions, cut to the variables that the tested group's expressions read.
+        self.around: Solutions | None = None
 
     def fresh(self, label: str = "v") -> str:
         self.count += 1
@@ -186,15 +222,26 @@ class Evaluator:
                 base = sols if sols is not None else Solutions.unit(self.spark)
                 if name in base.specs:
                     raise ValueError(f"BIND of ?{name}, which is bound already")
+                base = self.with_outer(base, [e])
                 base, special = self.tests(base, [e])
                 sols = self.dropped(base.extend(name, self.scope(base, special).value(e)), special)
             else:
                 sols = self.and_(sols, self.element(kind, args))
         sols = sols if sols is not None else Solutions.unit(self.spark)
+        sols = self.with_outer(sols, filters)
         for e in filters:
             sols = self.filter(sols, e)
         return sols
 
+    def with_outer(self, sols: Solutions, expressions: list) -> Solutions:
+        """Inside EXISTS: outer variables that ``expressions`` read join the group's solutions first."""
+        if self.around is None:
+            return sols
+        missing = [n for n in sorted(needed(expressions)) if n in self.around.specs and n not in sols.specs]
+        if not missing:
+            return sols
+        return sols.join(self.around.project([*missing, *sols.shared(self.around)]).distinct())
+
     def and_(self, a: Solutions | None, b: Solutions) -> Solutions:
         return b if a is None else a.join(b)
 
@@ -210,7 +257,11 @@ class Evaluator:
                 found = one if found is None else found.union(one)
             return found
         if kind == "subquery":
-            return self.select(args[0])
+            around, self.around = self.around, None
+            try:
+                return self.select(args[0])
+            finally:
+                self.around = around
         if kind == "values":
             return self.table(*args)
         if kind == "graph":
@@ -268,6 +319,7 @@ class Evaluator:
         outside = [f for f in filters if any(isinstance(x, Exists) for x in _walk(f))]
         right = self.group(Group((*inner, *(("filter", f) for f in outside))))
         tests = [f for f in filters if f not in outside]
+        base = self.with_outer(base, tests)
         if not tests:
             return base.join(right, "left")
 
@@ -288,6 +340,12 @@ class Evaluator:
         right = right.project(names).distinct()
         if not any(n in base.maybe or n in right.maybe for n in names):
             return base.join(right, "left_anti")
+        split = next((n for n in names if n in base.maybe and n not in right.maybe), None)
+        if split is not None and all(n in base.maybe or n in right.maybe for n in names):
+            # Where the variable is bound it is a key; where not, the others decide.
+            bound, unbound = base.parted(split)
+            rest = unbound if len(names) == 1 else self.minus(unbound, right.project([n for n in names if n != split]))
+            return self.minus(bound, right).union(rest)
 
         def one_bound(values) -> Column:
             out = F.lit(False)
@@ -311,21 +369,22 @@ class Evaluator:
     def exists(self, sols: Solutions, e: Exists) -> Solutions:
         """The solutions of the tested group, cut to what they share with ``sols``.
 
-        Filters inside that use outer variables see them: the outer solutions' values of the
-        variables they name are joined in first.
+        Filters and BINDs at any depth of the group see the outer variables that they read:
+        the distinct outer values of those are joined into the group that reads them.
         """
-        inner = e.group
-        used = set().union(*(variables_of(x[1]) for x in inner.elements if x[0] == "filter")) if inner.elements else set()
-        free = Group(tuple(x for x in inner.elements if x[0] != "filter"))
-        right = self.group(free)
-        missing = [n for n in sorted(used) if n in sols.specs and n not in right.specs]
-        if missing:
-            seen = sols.project([*dict.fromkeys([*missing, *sols.shared(right)])]).distinct()
-            right = right.join(seen)
-        for x in inner.elements:
-            if x[0] == "filter":
-                right = self.filter(right, x[1])
-        return right.project(sols.shared(right)).distinct() if sols.shared(right) else replace(right.project([]), df=right.df.limit(1).select())
+        names = [n for n in sorted(read_within(e.group)) if n in sols.specs]
+        around, self.around = self.around, sols.project(names).distinct() if names else None
+        try:
+            # What the outer test itself sees stays visible in here.
+            if around is not None and self.around is not None:
+                self.around = self.around if set(around.specs) <= set(self.around.specs) else self.around.join(around)
+            elif self.around is None:
+                self.around = around
+            right = self.group(e.group)
+        finally:
+            self.around = around
+        shared = sols.shared(right)
+        return right.project(shared).distinct() if shared else replace(right.project([]), df=right.df.limit(1).select())
 
     def tests(self, sols: Solutions, expressions: list) -> tuple[Solutions, dict]:
         """EXISTS inside larger expressions: a marker column per test, by left join."""
@@ -378,8 +437,15 @@ class Evaluator:
             for key in V.order_keys(self.scope(sols, special).value(e)):
                 keys.append(key.asc_nulls_first() if up else key.desc_nulls_last())
         if q.distinct and keys:
-            # The order's keys are functions of what is projected, or the first one of each group counts.
-            sols = Solutions(sols.df.orderBy(*keys).dropDuplicates(names), sols.specs, sols.maybe)
+            # Keys that are no functions of what is projected: the least of a group counts, the greatest where it descends.
+            each = [V.order_keys(self.scope(sols, special).value(e)) for e, _ in q.order_by]
+            ups = [up for (_, up), columns in zip(q.order_by, each, strict=True) for _ in columns]
+            columns = [c for part in each for c in part]
+            held = sols.df.select(*(F.col(quoted(n)) for n in names if n in sols.specs), *(c.alias(f"__order{i}") for i, c in enumerate(columns)))
+            least = [(F.min if up else F.max)(f"__order{i}").alias(f"__order{i}") for i, up in enumerate(ups)]
+            present = [n for n in names if n in sols.specs]
+            sols = Solutions(held.groupBy(*map(quoted, present)).agg(*least), {n: sols.specs[n] for n in present}, sols.maybe & set(present))
+            keys = [F.col(f"__order{i}").asc_nulls_first() if up else F.col(f"__order{i}").desc_nulls_last() for i, up in enumerate(ups)]
         if keys:
             sols = replace(sols, df=sols.df.orderBy(*keys))
         if q.offset:
@@ -402,7 +468,9 @@ class Evaluator:
         rows = inputs.groupBy(*(f"`__key_{n}`" for n in keys)).agg(*columns)
         values = {n: Val(v.spec, F.col(f"`__key_{n}`")) for n, v in keys.items()}
         values |= {n: Val(spec, finish(F.col(n))) for n, (_, (_, (spec, finish))) in made.items()}
-        found = Solutions.of(rows, values, set(keys) | set(made))
+        certain = {label for (name, e), label in zip(q.group_by, keys, strict=True) if isinstance(e, Variable) and e.name in sols.specs and e.name not in sols.maybe}
+        counts = {n for n, (a, _) in made.items() if a.name == "COUNT"}
+        found = Solutions.of(rows, values, (set(keys) | set(made)) - certain - counts)
         table = {a: found.value(n) for n, (a, _) in made.items()}
         table |= {e: found.value(label) for e, label in special.items()}
         return found, table

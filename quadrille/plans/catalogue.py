@@ -6,18 +6,21 @@ over decimals, so that their order does not show in the result.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import values as V
 from ..operators.bindings import Bindings
 from ..operators.coercion import Coercion
 from ..operators.graph import Dataset, Graph
 from ..operators.template import Template
 from ..sources.rdf_text import n3, ntriples, parse_lines
-from ..sources.tables import NS, VOCAB, graph_of, read
-from ..terms import ANY, DECIMAL, Iri
+from ..sources.shared import folder
+from ..sources.tables import NS, VOCAB, graph_of, read, read_csv
+from ..terms import ANY, DECIMAL, Iri, blank_label
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -81,7 +84,7 @@ DEC = "CAST(CAST({} AS DECIMAL(38,12)) AS DOUBLE)"
 FLAGSHIP = """SELECT ?nation (COUNT(?o) AS ?orders) (xsd:double(SUM(xsd:decimal(?price))) AS ?total)
 WHERE { ?o a v:Order ; v:o_customer ?c ; v:o_totalprice ?price . ?c v:c_nation ?n . ?n v:n_name ?nation }
 GROUP BY ?nation ORDER BY DESC(?orders) ?nation LIMIT 10"""
-FLAGSHIP_SQL = """SELECT n_name AS nation, count(*) AS orders, CAST(sum(CAST(o_totalprice AS DECIMAL(38,12))) AS DOUBLE) AS total
+FLAGSHIP_SQL = """SELECT n_name AS nation, count(*) AS orders, CAST(CAST(sum(CAST(o_totalprice AS DECIMAL(38,12))) AS DECIMAL(38,2)) AS DOUBLE) AS total
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
 GROUP BY n_name ORDER BY orders DESC, nation LIMIT 10"""
 
@@ -110,8 +113,9 @@ def _rows_to_triples(spark, sf_dir):
 
 @query("s_2_csv_strings", "SELECT CAST(n_nationkey AS VARCHAR) AS k, n_name AS name FROM nation")
 def _csv(spark, sf_dir):
-    lines = read(spark, sf_dir, "nation").select(F.to_csv(F.struct("n_nationkey", "n_name")).alias("value"))
-    cells = lines.select(F.from_csv("value", F.lit("k string, name string")).alias("c")).select("c.*")
+    path = f"{folder(spark)}/nation-{uuid.uuid4().hex}.csv"
+    read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name")).write.option("header", True).csv(path)
+    cells = read_csv(spark, path)
     return Graph.empty(spark, ns=NS).add("_:{?k} v:k ?k ; v:name ?name", cells).query("SELECT ?k ?name WHERE { ?s v:k ?k ; v:name ?name }").frame(k="string", name="string")
 
 
@@ -191,6 +195,15 @@ _template(
     "SELECT (COUNT(DISTINCT ?b) AS ?n) WHERE { ?b v:seg ?s }",
     "SELECT count(*) AS n FROM (SELECT DISTINCT c_mktsegment, c_nationkey FROM customer)",
 )
+
+
+@query("t_15_host_and_column", "SELECT c_custkey AS k FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey = 3")
+def _host_and_column(spark, sf_dir):
+    made = Template("_:{?c_mktsegment, ?c_nationkey} v:holds ?c_custkey", NS)(read(spark, sf_dir, "customer"))
+    key = blank_label(("BUILDING", 3))
+    return made.match("?b v:holds ?k").solutions().terms().where(F.col("b.v") == key).select(F.col("k.v").cast("int").alias("k"))
+
+
 _template("t_16_fresh_bnode", "[] v:of ?c_mktsegment", "customer", "SELECT (COUNT(DISTINCT ?b) AS ?n) WHERE { ?b v:of ?s }", "SELECT count(*) AS n FROM customer")
 _template(
     "t_18_collection_len",
@@ -438,6 +451,7 @@ expression("e_33_kinds", "CONCAT(STR(ISIRI(?reg)), STR(ISLITERAL(?n)), STR(ISBLA
 expression("e_34_isnumeric", "ISNUMERIC(?z) && !ISNUMERIC(?n)", "true", "part")
 expression("e_35_langmatches", "LANGMATCHES(LANG(?t), 'EN')", "lang = 'en'", "documents")
 expression("e_36_encode", "ENCODE_FOR_IRI(?n)", "replace(replace(p_name, '%', '%25'), ' ', '%20')", "part")
+expression("q_35_encode_for_uri", "ENCODE_FOR_URI(CONCAT('é ', ?n))", "'%C3%A9%20' || replace(replace(p_name, '%', '%25'), ' ', '%20')", "part")
 expression("e_37_nested_iri", "STR(e<http://x/{CONCAT(?st, ' ', ?pr)}>)", "'http://x/' || o_orderstatus || '%20' || replace(o_orderpriority, ' ', '%20')")
 expression("q_36_dates", "YEAR(?d) * 10000 + MONTH(?d) * 100 + DAY(?d)", "CAST(year(o_orderdate) * 10000 + month(o_orderdate) * 100 + day(o_orderdate) AS BIGINT)")
 expression("q_36_times", "HOURS(?d) * 60 + MINUTES(?d)", "CAST(hour(o_orderdate) * 60 + minute(o_orderdate) AS BIGINT)")
@@ -482,6 +496,19 @@ sparql("q_10_exists", "SELECT ?k WHERE { ?c v:c_custkey ?k FILTER EXISTS { ?o v:
 sparql("q_10_not_exists", "SELECT ?k WHERE { ?c v:c_custkey ?k FILTER NOT EXISTS { ?o v:o_customer ?c ; v:o_orderpriority '1-URGENT' } }", "SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')", "customer orders")
 sparql("q_10_exists_outer_filter", "SELECT ?k WHERE { ?c v:c_custkey ?k ; v:c_acctbal ?b FILTER EXISTS { ?o v:o_customer ?c ; v:o_totalprice ?p FILTER(?p > ?b * 40) } }", "SELECT c_custkey AS k FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal * 40)", "customer orders")
 sparql("q_10_exists_in_expression", "SELECT ?k WHERE { ?c v:c_custkey ?k ; v:c_acctbal ?b FILTER(?b > 9000 || EXISTS { ?o v:o_customer ?c ; v:o_orderstatus 'P' }) }", "SELECT c_custkey AS k FROM customer WHERE c_acctbal > 9000 OR c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')", "customer orders")
+sparql("q_10_exists_nested", "SELECT ?k WHERE { ?c v:c_custkey ?k ; v:c_acctbal ?b FILTER EXISTS { { ?o v:o_customer ?c ; v:o_totalprice ?p FILTER(?p > ?b * 40) } UNION { ?o v:o_customer ?c ; v:o_orderpriority '1-URGENT' FILTER(?b < 0) } } }", "SELECT c_custkey AS k FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND (o_totalprice > c_acctbal * 40 OR (o_orderpriority = '1-URGENT' AND c_acctbal < 0)))", "customer orders")
+sparql("q_10_exists_bind", "SELECT ?k WHERE { ?c v:c_custkey ?k ; v:c_acctbal ?b FILTER EXISTS { ?o v:o_customer ?c ; v:o_totalprice ?p BIND(?b * 40 AS ?y) FILTER(?p > ?y) } }", "SELECT c_custkey AS k FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal * 40)", "customer orders")
+
+
+@query("b_6_table_bindings", "SELECT c_custkey AS k, n_name AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1")
+def _table_bindings(spark, sf_dir):
+    nations = read(spark, sf_dir, "nation").where("n_regionkey = 1").select(F.concat(F.lit("http://example.org/nation/"), F.col("n_nationkey").cast("string")).alias("x"), "n_name")
+    given = Bindings.from_df(nations.select(F.col("n_name").alias("n"), "x")).set("x", V.iri(F.col("x")))
+    found = graph_of(spark, sf_dir, "customer").match("?c v:c_nation ?x ; v:c_custkey ?k", bindings=given)
+    return found.solutions().frame().select("k", "n")
+
+
+sparql("q_7_join_after_optional", "SELECT ?k ?n WHERE { ?s v:s_suppkey ?k ; v:s_acctbal ?b OPTIONAL { ?s v:s_nation ?x FILTER(?b > 0) } ?x v:n_name ?n }", "SELECT s_suppkey AS k, n_name AS n FROM supplier JOIN nation ON NOT s_acctbal > 0 OR s_nationkey = n_nationkey", "supplier nation")
 sparql("q_11_bind", "SELECT ?k ?x WHERE { ?s v:p_partkey ?k ; v:p_size ?z BIND(?z * 2 AS ?x) FILTER(?x > 60) }", "SELECT CAST(p_partkey AS BIGINT) AS k, CAST(p_size * 2 AS BIGINT) AS x FROM part WHERE p_size * 2 > 60", "part")
 sparql("q_12_values", "SELECT ?k ?seg WHERE { VALUES ?seg { 'BUILDING' 'MACHINERY' } ?c v:c_mktsegment ?seg ; v:c_custkey ?k }", "SELECT c_custkey AS k, c_mktsegment AS seg FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')", "customer")
 sparql("q_12_values_undef", "SELECT ?k WHERE { ?c v:c_custkey ?k ; v:c_mktsegment ?seg ; v:c_nation ?n } VALUES (?seg ?n) { ('BUILDING' nation:1) (UNDEF nation:2) }", "SELECT c_custkey AS k FROM customer WHERE (c_mktsegment = 'BUILDING' AND c_nationkey = 1) OR c_nationkey = 2", "customer")
@@ -517,49 +544,29 @@ sparql("q_22_inverse", "SELECT ?r (COUNT(?c) AS ?n) WHERE { ?r a v:Region ; ^v:n
 sparql("q_26_negated", "SELECT (COUNT(*) AS ?n) WHERE { nation:3 !(a|v:n_name) ?x }", "SELECT 2 * count(*) AS n FROM nation WHERE n_nationkey = 3", "nation")
 
 
-def _links(spark, sf_dir) -> Graph:
-    """A cyclic graph: each customer points to the one whose number is 7 k mod 60, and to k / 2."""
-    keys = read(spark, sf_dir, "customer").where("c_custkey < 60").select("c_custkey", (F.col("c_custkey") * 7 % 60).alias("a"), F.expr("c_custkey div 2").alias("b"))
-    return Graph.empty(spark, ns=NS).add("customer:{?c_custkey} v:to customer:{?a} ; v:half customer:{?b}", keys)
-
-
-_EDGES = "WITH RECURSIVE e AS (SELECT c_custkey AS x, c_custkey * 7 % 60 AS y FROM customer WHERE c_custkey < 60), h AS (SELECT c_custkey AS x, c_custkey // 2 AS y FROM customer WHERE c_custkey < 60)"
 _NODE = "'http://example.org/customer/' || {} AS {}"
 
 
-def _path(name: str, text: str, sql: str) -> None:
-    @query(name, sql)
-    def run(spark, sf_dir):
-        return _links(spark, sf_dir).query(text).frame(x="string", y="string")
-
-
-_path("q_23_optional_path", "SELECT ?y (customer:7 AS ?x) WHERE { customer:7 v:half? ?y }", _EDGES + " SELECT 'http://example.org/customer/7' AS x, 'http://example.org/customer/' || y AS y FROM (SELECT y FROM h WHERE x = 7 UNION SELECT 7)")
-_path("q_24_plus", "SELECT ?x ?y WHERE { ?x v:to+ ?y }", _EDGES + f", r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x) SELECT {_NODE.format('x', 'x')}, {_NODE.format('y', 'y')} FROM r")
-_path("q_24_plus_bound", "SELECT ?y (customer:11 AS ?x) WHERE { customer:11 (v:to|v:half)+ ?y }", _EDGES + f", b AS (SELECT * FROM e UNION SELECT * FROM h), r AS (SELECT y FROM b WHERE x = 11 UNION SELECT b.y FROM r JOIN b ON r.y = b.x) SELECT 'http://example.org/customer/11' AS x, {_NODE.format('y', 'y')} FROM r")
-_path("q_24_plus_to_bound", "SELECT ?x (customer:1 AS ?y) WHERE { ?x v:half+ customer:1 }", _EDGES + f", r AS (SELECT x FROM h WHERE y = 1 UNION SELECT h.x FROM r JOIN h ON r.x = h.y) SELECT {_NODE.format('x', 'x')}, 'http://example.org/customer/1' AS y FROM r")
-_path("q_25_star", "SELECT ?x ?y WHERE { ?x v:half* ?y }", _EDGES + f", n AS (SELECT x FROM h UNION SELECT y FROM h UNION SELECT y FROM e), r AS (SELECT x, x AS y FROM n UNION SELECT r.x, h.y FROM r JOIN h ON r.y = h.x) SELECT {_NODE.format('x', 'x')}, {_NODE.format('y', 'y')} FROM r")
-
-
 def _halves(spark, sf_dir) -> Graph:
     """Each customer of the whole table points to the one of half its number: a closure of n log n pairs."""
     keys = read(spark, sf_dir, "customer").select("c_custkey", F.expr("c_custkey div 2").alias("b"))
     return Graph.empty(spark, ns=NS).add("customer:{?c_custkey} v:half customer:{?b}", keys)
 
 
-_ALL_HALVES = "WITH RECURSIVE h AS (SELECT c_custkey AS x, c_custkey // 2 AS y FROM customer)"
+_HALVES = "WITH RECURSIVE h AS (SELECT c_custkey AS x, c_custkey // 2 AS y FROM customer)"
 
 
-def _whole_path(name: str, text: str, sql: str) -> None:
-    @query(name, _ALL_HALVES + sql)
+def _path(name: str, text: str, sql: str) -> None:
+    @query(name, _HALVES + sql)
     def run(spark, sf_dir):
         return _halves(spark, sf_dir).query(text).frame(x="string", y="string")
 
 
-_whole_path("q_23_optional_path_all", "SELECT ?x ?y WHERE { ?x v:half? ?y }", f" SELECT {_NODE.format('x', 'x')}, {_NODE.format('y', 'y')} FROM (SELECT x, y FROM h UNION SELECT x, x FROM h UNION SELECT y, y FROM h)")
-_whole_path("q_24_plus_all", "SELECT ?x ?y WHERE { ?x v:half+ ?y }", f", r AS (SELECT x, y FROM h UNION SELECT r.x, h.y FROM r JOIN h ON r.y = h.x) SELECT {_NODE.format('x', 'x')}, {_NODE.format('y', 'y')} FROM r")
-_whole_path("q_24_plus_bound_all", "SELECT ?y (customer:149 AS ?x) WHERE { customer:149 v:half+ ?y }", f", r AS (SELECT y FROM h WHERE x = 149 UNION SELECT h.y FROM r JOIN h ON r.y = h.x) SELECT 'http://example.org/customer/149' AS x, {_NODE.format('y', 'y')} FROM r")
-_whole_path("q_24_plus_to_bound_all", "SELECT ?x (customer:1 AS ?y) WHERE { ?x v:half+ customer:1 }", f", r AS (SELECT x FROM h WHERE y = 1 UNION SELECT h.x FROM r JOIN h ON r.x = h.y) SELECT {_NODE.format('x', 'x')}, 'http://example.org/customer/1' AS y FROM r")
-_whole_path("q_25_star_all", "SELECT ?x ?y WHERE { ?x v:half* ?y }", f", r AS (SELECT x, x AS y FROM (SELECT x FROM h UNION SELECT y FROM h) UNION SELECT r.x, h.y FROM r JOIN h ON r.y = h.x) SELECT {_NODE.format('x', 'x')}, {_NODE.format('y', 'y')} FROM r")
+_path("q_23_optional_path", "SELECT ?x ?y WHERE { ?x v:half? ?y }", f" SELECT {_NODE.format('x', 'x')}, {_NODE.format('y', 'y')} FROM (SELECT x, y FROM h UNION SELECT x, x FROM h UNION SELECT y, y FROM h)")
+_path("q_24_plus", "SELECT ?x ?y WHERE { ?x v:half+ ?y }", f", r AS (SELECT x, y FROM h UNION SELECT r.x, h.y FROM r JOIN h ON r.y = h.x) SELECT {_NODE.format('x', 'x')}, {_NODE.format('y', 'y')} FROM r")
+_path("q_24_plus_bound", "SELECT ?y (customer:149 AS ?x) WHERE { customer:149 v:half+ ?y }", f", r AS (SELECT y FROM h WHERE x = 149 UNION SELECT h.y FROM r JOIN h ON r.y = h.x) SELECT 'http://example.org/customer/149' AS x, {_NODE.format('y', 'y')} FROM r")
+_path("q_24_plus_to_bound", "SELECT ?x (customer:1 AS ?y) WHERE { ?x v:half+ customer:1 }", f", r AS (SELECT x FROM h WHERE y = 1 UNION SELECT h.x FROM r JOIN h ON r.x = h.y) SELECT {_NODE.format('x', 'x')}, 'http://example.org/customer/1' AS y FROM r")
+_path("q_25_star", "SELECT ?x ?y WHERE { ?x v:half* ?y }", f", r AS (SELECT x, x AS y FROM (SELECT x FROM h UNION SELECT y FROM h) UNION SELECT r.x, h.y FROM r JOIN h ON r.y = h.x) SELECT {_NODE.format('x', 'x')}, {_NODE.format('y', 'y')} FROM r")
 sparql("q_27_parameter", "SELECT ?k WHERE { ?c v:c_mktsegment {{seg}} ; v:c_custkey ?k ; v:c_nation {{nation}} }", "SELECT c_custkey AS k FROM customer WHERE c_mktsegment = 'FURNITURE' AND c_nationkey = 2", "customer", seg="FURNITURE", nation=Iri("http://example.org/nation/2"))
 sparql("q_28_computed_parameter", "SELECT ?n WHERE { f<http://example.org/nation/{{k}}> v:n_name ?n }", "SELECT n_name AS n FROM nation WHERE n_nationkey = 6", "nation", k=6)
 

@@ -98,6 +98,10 @@ class Solutions:
             if not self.specs and not other.specs:
                 return Solutions(self.df.crossJoin(other.df), {})
         names = self.shared(other)
+        if how in ("inner", "left") and condition is None:
+            found = self._by_parts(other, names, how)
+            if found is not None:
+                return found
         pair = self.aligned(other, names)
         if pair is None:
             specs = {**other.specs, **self.specs}
@@ -137,6 +141,39 @@ class Solutions:
         maybe |= {n for n in right.specs if n not in left.specs and (how == "left" or n in right.maybe)}
         return Solutions.of(joined, both, maybe)
 
+    def parted(self, name: str) -> tuple[Solutions, Solutions]:
+        """The solutions that bind a variable, and those that do not."""
+        col = F.col(quoted(name))
+        return replace(self.where(col.isNotNull()), maybe=self.maybe - {name}), self.where(col.isNull())
+
+    def without(self, name: str) -> Solutions:
+        return self.project([n for n in self.specs if n != name])
+
+    def _by_parts(self, other: Solutions, names: list[str], how: str) -> Solutions | None:
+        """A join none of whose shared variables is surely bound, as equi-joins where one is bound; None if there is no such part."""
+        open_ended = [n for n in names if n in self.maybe or n in other.maybe]
+        if len(open_ended) < len(names) or len(names) > 3 or not names:
+            return None
+        if how == "left":
+            name = next((n for n in names if n not in other.maybe), None)
+            if name is None:
+                return None
+            bound, unbound = self.parted(name)
+            return bound.join(other, how).union(unbound.without(name).join(other, how))
+        name = names[0]
+        parts = []
+        sides = [x.parted(name) if name in x.maybe else (x, None) for x in (self, other)]
+        (a, a_none), (b, b_none) = sides
+        parts.append(a.join(b))
+        if a_none is not None:
+            parts.append(a_none.without(name).join(other))
+        if b_none is not None:
+            parts.append(a.join(b_none.without(name)))
+        found = parts[0]
+        for part in parts[1:]:
+            found = found.union(part)
+        return found.project([*self.specs, *(n for n in other.specs if n not in self.specs)])
+
     def union(self, other: Solutions) -> Solutions:
         """Both sequences; variables of one side only are unbound in the other."""
         names = [*self.specs, *(n for n in other.specs if n not in self.specs)]

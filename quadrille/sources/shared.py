@@ -13,10 +13,12 @@ _own: dict[str, str] = {}
 
 
 def folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where it is unset, a temporary folder of this process."""
+    """``spark.checkpoint.dir``; where it is unset in local mode (tests), a temporary folder of this process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not (spark.sparkContext.master + "[").startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="quadrille-")

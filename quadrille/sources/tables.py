@@ -42,6 +42,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """CSV files with a header: every cell a string, empty ones the empty string."""
+    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).na.fill("")
+
+
 def graph_of(spark: SparkSession, sf_dir: str, *names: str) -> Graph:
     """The virtual graph of some tables (all by default)."""
     tables = []

@@ -191,20 +191,40 @@ def term_of(cell) -> Term | None:
     return Blank(cell["v"]) if cell["k"] == BLANK else Literal(cell["v"], cell["dt"], cell["lang"])
 
 
+def double_form(x: float) -> str:
+    """Lexical form of a double as the engine's columns write it: 0.001 to 10^7 plain, others with an exponent."""
+    if x != x or x in (float("inf"), float("-inf")):
+        return "NaN" if x != x else "Infinity" if x > 0 else "-Infinity"
+    if x == 0 or 1e-3 <= abs(x) < 1e7:
+        text = format(decimal.Decimal(repr(x)), "f")
+        return text if "." in text else text + ".0"
+    sign, digits, shift = decimal.Decimal(repr(x)).normalize().as_tuple()
+    tail = "".join(map(str, digits[1:])) or "0"
+    return f"{'-' * sign}{digits[0]}.{tail}E{shift + len(digits) - 1}"
+
+
+def key_form(term: Term) -> str:
+    """What a term adds to the identity of a keyed blank node: its N-Triples form."""
+    if isinstance(term, Literal) and term.datatype == DOUBLE:
+        try:
+            return Literal(double_form(float(term.lexical)), DOUBLE).n3()
+        except ValueError:
+            pass
+    if isinstance(term, Literal) and term.datatype == DECIMAL:
+        whole, _, rest = term.lexical.partition(".")
+        return Literal(f"{whole}.{rest.rstrip('0') or '0'}", DECIMAL).n3()
+    return term.n3()
+
+
 def blank_label(value) -> str:
-    """Label of the blank node that a value keys: equal values give the same node everywhere.
+    """Label of the blank node that a value, or a tuple of values, keys; a blank node keys itself.
 
-    Text that can be a label is one; a tuple is the digest of its parts with their lengths;
-    any other value is the digest of its type and form.
+    Columns make the same labels: ``k`` and the start of the SHA-256 digest of the N-Triples
+    forms, which end where they say, one after the other.
     """
     import hashlib
 
-    if isinstance(value, Blank):
-        return value.label
-    if isinstance(value, str) and re.fullmatch(r"[A-Za-z0-9_][A-Za-z0-9_-]*", value):
-        return value
-    if isinstance(value, tuple):
-        text = "\x1f".join(f"{len(str(p))}:{p}" for p in value)
-    else:
-        text = f"{type(value).__name__}:{value!r}"
-    return "b" + hashlib.md5(text.encode()).hexdigest()
+    terms = [node(x) for x in (value if isinstance(value, tuple) else (value,))]
+    if len(terms) == 1 and isinstance(terms[0], Blank):
+        return terms[0].label
+    return "k" + hashlib.sha256(" ".join(map(key_form, terms)).encode()).hexdigest()[:40]

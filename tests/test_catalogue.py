@@ -20,7 +20,7 @@ def db():
 
 
 def plain(v):
-    return None if v is None or (isinstance(v, float) and math.isnan(v)) else round(v, 9) if isinstance(v, float) else v
+    return None if v is None or (isinstance(v, float) and math.isnan(v)) else float(f"{v:.12g}") if isinstance(v, float) else v
 
 
 def test_every_query_has_sql():

@@ -151,12 +151,15 @@ def test_fresh_blanks_per_row_shared_within(spark):
 
 
 def test_blank_keys_match_the_host(spark):
+    import decimal
+
     from quadrille.terms import blank_label
 
-    rows = spark.createDataFrame([("a b", "c", 5)], "a string, b string, n int")
-    made = list(Template("_:{?a} ex:p _:{?a, ?b} . _:{?b} ex:q _:{?n}", NS)(rows))
+    cells = ("it's x", "c", 5, 2.5e-7, decimal.Decimal("1.50"), True, 1e20, 0.1)
+    rows = spark.createDataFrame([cells], "a string, b string, n int, x double, d decimal(9,2), t boolean, y double, z double")
+    made = list(Template("_:{?a} ex:p _:{?a, ?b} . _:{?b} ex:q _:{?n} . _:{?x} ex:q _:{?d} . _:{?t} ex:q _:{?y} . _:{?z} ex:q 1", NS)(rows))
     labels = {t.label for x in made for t in x if isinstance(t, Blank)}
-    assert labels == {blank_label("a b"), blank_label(("a b", "c")), "c", blank_label(5)}
+    assert labels == {blank_label(v) for v in (*cells, cells[:2])}
 
 
 def test_collections_and_encoding(spark):
