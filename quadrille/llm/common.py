@@ -22,12 +22,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests in
-    local mode) a temporary folder of this process takes its place.
+    A cluster names it in ``spark.checkpoint.dir``. Where that is unset in local mode (tests),
+    a temporary folder of this process takes its place; elsewhere that is an error.
     """
     named = spark.conf.get(SHARED_DIR_KEY, None)
     if named:
         return named.rstrip("/")
+    if not (spark.sparkContext.master + "[").startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="quadrille-")
