@@ -1,9 +1,9 @@
 """Near-duplicate documents by DartMinHash over weighted five-word shingles.
 
-A document is a weighted set: its five-word shingles with their counts. Each unit of an
-element's weight is a region at which a fixed random process, seeded by the element's
-hash, throws darts in order of rank; the darts in the regions a document covers are its
-own, and two documents share a dart where both cover it. Only darts below a rank limit
+A document is a weighted set: its five-word shingles with their counts. The weight axis of
+an element is cut into regions of doubling height, at each of which a fixed random process,
+seeded by the element's hash, throws darts in order of rank; the darts below an element's
+weight are the document's own, and two documents share a dart where both cover it. Only darts below a rank limit
 are thrown, set so that about k ln k + 2 k fall into the document whatever its length.
 Each dart belongs to one of k coordinates, and the earliest dart of each coordinate is
 the signature: two signatures agree at a coordinate with the probability of the weighted
@@ -11,7 +11,11 @@ Jaccard similarity. Should a coordinate stay empty, the limit is doubled.
 
 Sixteen bands of four coordinates make candidates (over 0.999 of the pairs at 0.8), the
 exact weighted similarity of both whole texts decides, and the classes are the connected
-components of what it confirms. Exact copies are one node from the start.
+components of what it confirms. A bucket's members first meet its one or two leaders. What is
+left of a bucket in several components is compared too: pair by pair where few are left, else
+those outside the largest component meet all in blocks of ``BLOCK`` texts, each block one task
+that returns no more links than join its components. So every pair of a bucket was compared or
+its ends are in one component, and no pairs of a large bucket travel. Exact copies are one node from the start.
 
 Defined results: a text of one to four words is one shingle; a text without words (null,
 empty, blank) is a class of its own, named by its id, so it is never a duplicate of
@@ -29,12 +33,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .banding import elect, linked
+from .banding import Election, components, elect
 from .common import broadcast_if_small, discard, materialise, packed, unpacked
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 16, 4
 TABLE_ENTRIES, LONG_WORD = 1_000_000, 64
+#: Left members of a bucket up to which its pairs are verified one by one; members of a block beyond.
+FEW, BLOCK = 8, 256
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _ODD, _S33 = np.uint64(0x9E3779B97F4A7C15), np.uint64(33)
 
@@ -74,25 +80,30 @@ class Shingler:
 
 
 def dart_signature(elements: np.ndarray, weights: np.ndarray, k: int = BANDS * ROWS) -> np.ndarray:
-    """The k earliest darts of a weighted set (weights above 0, not all need be whole)."""
-    whole = np.ceil(weights).astype(np.int64)
-    copies = np.arange(int(whole.sum())) - np.repeat(np.cumsum(whole) - whole, whole)
-    cells = _mix(np.repeat(elements, whole) + copies.astype(np.uint64) * _ODD)
-    room = np.repeat(weights, whole) - copies  # the part of each cell that the weight covers, 1 or more: all
+    """The k earliest darts of a weighted set (weights above 0, not all need be whole).
+
+    The weight axis is cut into regions 0 to 1, 1 to 2, 2 to 4, 4 to 8 and so on. Darts come
+    in each region that a weight reaches at a rate of the region's height, so the darts thrown
+    are at most about twice those that land, whatever the weights.
+    """
+    reached = 1 + np.ceil(np.log2(np.maximum(weights, 1))).astype(np.int64)
+    nth = np.arange(int(reached.sum())) - np.repeat(np.cumsum(reached) - reached, reached)
+    cells = _mix(np.repeat(elements, reached) + nth.astype(np.uint64) * _ODD)
+    height = np.where(nth == 0, 1.0, 2.0 ** (nth - 1))
+    room = np.repeat(weights, reached) - np.where(nth == 0, 0.0, height)  # what the weight covers, from the region's edge
     limit = (k * np.log(k) + 2 * k) / float(weights.sum())
     while True:
         live, at, state = cells, np.zeros(len(cells)), cells
-        space = room
+        space, rate = room, height
         darts, ranks = [], []
         while len(live):
             state = _mix(state + _ODD)
-            at = at - np.log((state >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54)
+            at = at - np.log((state >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54) / rate
             near = at <= limit
-            state, at, space = state[near], at[near], space[near]
+            state, at, space, rate = state[near], at[near], space[near], rate[near]
             live = state
             dart = _mix(state ^ _M1)
-            height = (_mix(dart) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            hit = height < space  # a dart above the weight's edge is not in the region
+            hit = (_mix(dart) >> np.uint64(11)).astype(np.float64) * 2.0**-53 * rate < space  # a dart above the weight does not land
             darts.append(dart[hit])
             ranks.append(at[hit])
         dart, rank = np.concatenate(darts), np.concatenate(ranks)
@@ -168,6 +179,85 @@ def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def block_links(ids: list, roots: list, texts: list, others: list, threshold: float) -> list[tuple[int, int]]:
+    """Links that join the components (roots) of a block: each row of ``others`` (its place) against all rows, by exact weighted similarity."""
+    shingler = Shingler()
+    sets = [shingler.shingles(t) for t in texts]
+    totals = np.array([int(w.sum()) for _, w in sets])
+    grams = np.concatenate([e for e, _ in sets])
+    order = np.argsort(grams, kind="stable")
+    grams, owners = grams[order], np.repeat(np.arange(len(sets)), [len(e) for e, _ in sets])[order]
+    counts = np.concatenate([w for _, w in sets])[order]
+    parent = {r: r for r in roots}
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    found = []
+    for i in others:
+        elements, weights = sets[i]
+        begin, end = np.searchsorted(grams, elements), np.searchsorted(grams, elements, side="right")
+        n = end - begin
+        at = np.arange(int(n.sum())) + np.repeat(begin - (np.cumsum(n) - n), n)
+        both = np.bincount(owners[at], np.minimum(counts[at], np.repeat(weights, n)), len(sets))
+        for j in np.flatnonzero(both >= (threshold - 1e-12) * (totals + totals[i] - both)):
+            x, y = find(roots[i]), find(roots[j])
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+    return found
+
+
+def _compare(threshold: float):
+    def run(group: pa.Table) -> pa.Table:
+        rows = group.to_pydict()
+        found = block_links(rows["id"], rows["root"], rows["text"], [i for i, first in enumerate(rows["first"]) if first], threshold)
+        return pa.table([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else ([], []))], names=["a", "b"])
+
+    return run
+
+
+def _linked(first: Election, texts: DataFrame, threshold: float) -> tuple[DataFrame, list[str]]:
+    """(id, root) of the components over all pairs of bucket members that reach the threshold."""
+    table, at_table = components(_verify(first.pairs, texts, threshold))
+    # The leaders have met all members of their buckets.
+    others = first.shared.where("n > 3").join(first.leaders, "key").where("NOT array_contains(leaders, id)").select("key", "id")
+    rooted, at_rooted = materialise(others.join(table, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")), "rooted")
+    sizes = rooted.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    members, at_members = materialise(rooted.join(sizes.select("key", "n"), "key"), "members")
+    discard(first.shared.sparkSession, at_rooted)
+    if not members.isEmpty():
+        a, b = (members.where(F.col("n") <= FEW).select("key", F.col("id").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
+        pairs = a.join(b, "key").where("a < b AND root_a <> root_b").select("a", "b").distinct()
+        single = _verify(pairs.join(first.pairs, ["a", "b"], "left_anti"), texts, threshold)
+
+        large = members.where(F.col("n") > FEW)
+        counted = large.groupBy("key", "root").agg(F.count("*").alias("c"))
+        most = counted.groupBy("key").agg(F.max(F.struct("c", "root")).alias("most"), F.sum("c").alias("all"))
+        largest = most.select("key", F.col("most.root").alias("largest"), F.ceil((F.col("all") - F.col("most.c")) / BLOCK).cast("int").alias("fronts"), F.ceil(F.col("all") / BLOCK).cast("int").alias("backs"))
+        placed = large.join(largest, "key")
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        dealt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+        left = placed.where("root <> largest").select("key", "id", "root", F.lit(True).alias("first"), dealt("fronts").alias("front"), each("backs").alias("back"))
+        right = placed.select("key", "id", "root", F.lit(False).alias("first"), each("fronts").alias("front"), dealt("backs").alias("back"))
+        block = left.unionByName(right).join(texts, "id").select("key", "front", "back", "id", "root", "first", "text")
+        blocks = block.groupBy("key", "front", "back").applyInArrow(_compare(threshold), "a long, b long")
+
+        edges, at_edges = materialise(single.unionByName(blocks), "edges")
+        if not edges.isEmpty():
+            known = table.select(F.col("id").alias("a"), F.col("root").alias("b"))
+            wider, at_wider = components(known.unionByName(edges))
+            for path in at_table:
+                discard(first.shared.sparkSession, path)
+            table, at_table = wider, at_wider
+        discard(first.shared.sparkSession, at_edges)
+    discard(first.shared.sparkSession, at_members)
+    return table, at_table
+
+
 def _classed(documents: DataFrame, threshold: float) -> DataFrame:
     """doc_id, h1, h2, blank (no words), root (null if blank) and class_id of every row of ``documents``."""
     spark = documents.sparkSession
@@ -184,12 +274,12 @@ def _classed(documents: DataFrame, threshold: float) -> DataFrame:
     rows = documents.select(*_hash_columns(text), text.alias("text"))
     held = rows.join(broadcast_if_small(wanted, wanted.count(), 48), ["h1", "h2"]).groupBy("id").agg(F.first("text").alias("text"))
     texts, at_texts = materialise(held, "texts")
-    table, at_table = linked(first, lambda pairs: _verify(pairs, texts, threshold))
+    table, at_table = _linked(first, texts, threshold)
     for path in (*first.paths, at_wanted, at_texts):
         discard(spark, path)
 
     rooted = nodes.join(table, "id", "left").select("h1", "h2", "first", F.coalesce("root", "id").alias("root"))
-    named, _ = materialise(rooted.groupBy("root").agg(F.min("first").alias("class_id")), "named")
+    named = rooted.groupBy("root").agg(F.min("first").alias("class_id"))
     by_content, _ = materialise(rooted.join(named, "root").select("h1", "h2", "root", "class_id"), "classes")
     discard(spark, at_nodes)
     for path in at_table:
