@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, packed
 
 SPACE = " \t\n\x0b\f\r"
 SPACE_RUN = r"[ \t-\r]+"
@@ -150,6 +150,5 @@ def assess(documents: DataFrame, rules=RULES) -> DataFrame:
 
 def keep_good(documents: DataFrame, rules=RULES) -> DataFrame:
     """The rows of ``documents``, with its columns, that ``assess`` keeps."""
-    whole = documents.select(F.struct(*(documents[c] for c in documents.columns)).alias("_row"))
-    keyed = whole.select(whole["_row"].alias("doc_id"), whole["_row"]["text"].alias("text"))
+    keyed = packed(documents).select(F.col("_row").alias("doc_id"), F.col("_row.text").alias("text"))
     return assess(keyed, rules).where("kept").select("doc_id.*")

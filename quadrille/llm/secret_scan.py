@@ -1,16 +1,19 @@
-"""Secret scan: trigram queries narrow the rules to candidates, regexes verify them.
+"""Secret scan: an inverted index of trigrams narrows the rules to candidates, regexes verify them.
 
 Each rule's regex is read once on the driver and turned into a Boolean query over
 trigrams that any match must hold (conjunctions within a literal, disjunctions over
-alternatives). The index is partitioned by document: each row carries its slice of
-every posting list as one bit of a mask (bit i: the lower-cased text holds trigram i).
-Intersecting postings is then bit arithmetic on the row, with no shuffle, and a rule's
-regex runs only on rows whose mask satisfies its query. A rule without a mandatory
-trigram (a run of hex digits) scans every text.
+alternatives). One pass over the texts, lower-cased, writes the posting lists of the
+trigrams that some query names: a row (trigram, text) for each text that holds it. The
+lists are intersected and united by bit operations over the postings of a text, which gives
+the texts that satisfy each rule's query; only there its regex runs. A rule without a
+mandatory trigram (a run of hex digits) scans every text.
+
+A text is known by 128 bits of its content: copies share their postings, and the table of
+candidates meets the documents in one join.
 
 Defined results: a null text is empty and has no spans; positions are code points, end
-exclusive; repeated rows each get their spans; extra columns are ignored; an empty
-table gives an empty result.
+exclusive; repeated rows each get their spans; extra columns of any name are ignored by
+``scan`` and kept by ``redact``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,10 +24,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, materialise, packed, unpacked
 
 MASK = "[REDACTED]"
 MASK_BITS = 60
+#: Bytes of a text that are cut into trigrams at a time.
+BLOCK = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -141,47 +146,84 @@ def _trigrams(query: object) -> list[str]:
     return [] if query is True else [query]
 
 
+def _content(text: Column) -> tuple[Column, Column]:
+    """128 bits that stand for a text."""
+    return F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")
+
+
 class TrigramIndex:
-    """Posting bits for the trigrams that ``rules`` ask for."""
+    """Posting lists for the trigrams that ``rules`` ask for, and the texts that satisfy a rule's query."""
 
     def __init__(self, rules=RULES):
+        self.rules = rules
         self.queries = {r.kind: trigram_query(r.regex) for r in rules}
         self.terms = list(dict.fromkeys(t for q in self.queries.values() for t in _trigrams(q)))
 
-    @property
-    def columns(self) -> list[str]:
-        return [f"_postings{i}" for i in range(-(-len(self.terms) // MASK_BITS))]
-
-    def postings(self, text: Column) -> list[Column]:
-        """One mask column for each 60 trigrams."""
+    def postings(self, documents: DataFrame) -> DataFrame:
+        """gram, h1, h2: one row for each trigram of ``terms`` and each different text that holds it."""
+        text = F.coalesce("text", F.lit(""))
+        octets = documents.select(*_content(text), F.lower(text).cast("binary").alias("b")).where(F.octet_length("b") > 2)
+        at = F.explode(F.sequence(F.lit(0), F.octet_length("b") - 3, F.lit(BLOCK)))
+        blocks = octets.select("h1", "h2", "b", at.alias("at")).select("h1", "h2", F.substring(F.col("b"), F.col("at") + 1, F.lit(BLOCK + 2)).alias("part"))
+        each = blocks.select("h1", "h2", "part", F.explode(F.sequence(F.lit(1), F.octet_length("part") - 2)).alias("i"))
+        # The trigrams of the terms are ASCII: in UTF-8 their bytes stand for nothing else.
+        grams = each.select("h1", "h2", F.substring(F.col("part"), F.col("i"), F.lit(3)).cast("string").alias("gram"))
+        return grams.where(F.col("gram").isin(self.terms)).groupBy("gram", "h1", "h2").agg(F.lit(1).alias("one")).drop("one")
+
+    def candidates(self, postings: DataFrame) -> DataFrame:
+        """h1, h2, and ``passed``: bit i is set if the text satisfies the query of rule i. Texts that satisfy none have no row."""
+        place = F.array_position(F.array(*map(F.lit, self.terms)), F.col("gram")).cast("int") - 1
+        masks = []
+        for name, low in zip(self._columns, range(0, len(self.terms), MASK_BITS), strict=True):
+            bits = [1 << (i - low) if low <= i < low + MASK_BITS else 0 for i in range(len(self.terms))]
+            masks.append(F.bit_or(F.get(F.array(*(F.lit(x).cast("long") for x in bits)), place)).alias(name))
+        held = postings.groupBy("h1", "h2").agg(*masks)
+        passed = F.lit(0).cast("long")
+        for i, rule in enumerate(self.rules):
+            query = self.queries[rule.kind]
+            if query is not True:
+                passed = passed.bitwiseOR(F.when(self._holds(query), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
+        return held.select("h1", "h2", passed.alias("passed")).where("passed <> 0")
+
+    def find(self, documents: DataFrame) -> DataFrame:
+        """The candidates of ``documents``, by postings written to the shared folder."""
+        if not self.terms:
+            return documents.sparkSession.createDataFrame([], "h1 long, h2 long, passed long")
+        postings, _ = materialise(self.postings(documents), "postings")
+        return self.candidates(postings)
+
+    def spans(self, text: Column, passed: Column) -> list[Column]:
+        """For each rule the spans in ``text``, sought only where ``passed`` says so; rules without a query always."""
+        none = F.array().cast(SPAN)
         out = []
-        for name, at in zip(self.columns, range(0, len(self.terms), MASK_BITS), strict=True):
-            bits = [F.when(F.contains(text, F.lit(t)), F.lit(1 << i)).otherwise(0) for i, t in enumerate(self.terms[at : at + MASK_BITS])]
-            mask = bits[0].cast("long")
-            for b in bits[1:]:
-                mask = mask.bitwiseOR(b.cast("long"))
-            out.append(mask.alias(name))
+        for i, rule in enumerate(self.rules):
+            tested = F.rlike(text, F.lit(rule.regex))
+            if self.queries[rule.kind] is not True:
+                tested = (F.coalesce(passed, F.lit(0)).bitwiseAND(F.lit(1 << i).cast("long")) != 0) & tested
+            out.append(F.when(tested, _spans(text, rule, i)).otherwise(none))
         return out
 
-    def holds(self, query: object) -> Column:
-        """The query as a condition on the mask columns."""
-        if query is True:
-            return F.lit(True)
+    @property
+    def _columns(self) -> list[str]:
+        return [f"_postings{i}" for i in range(-(-len(self.terms) // MASK_BITS))]
+
+    def _holds(self, query: object) -> Column:
+        """The query as a condition on the masks of a text."""
         if isinstance(query, tuple) and query[0] == "or":
             cond = F.lit(False)
             for q in query[1:]:
-                cond = cond | self.holds(q)
+                cond = cond | self._holds(q)
             return cond
         terms = query[1:] if isinstance(query, tuple) else (query,)
         cond = F.lit(True)
-        wanted = [0] * len(self.columns)
+        wanted = [0] * len(self._columns)
         for q in terms:
             if isinstance(q, tuple):
-                cond = cond & self.holds(q)
+                cond = cond & self._holds(q)
             else:
                 i = self.terms.index(q)
                 wanted[i // MASK_BITS] |= 1 << (i % MASK_BITS)
-        for name, bits in zip(self.columns, wanted, strict=True):
+        for name, bits in zip(self._columns, wanted, strict=True):
             if bits:
                 cond = cond & (F.col(name).bitwiseAND(F.lit(bits).cast("long")) == bits)
         return cond
@@ -222,14 +264,8 @@ def scan(documents: DataFrame, rules=RULES) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans: one row per row of ``documents``."""
     index = TrigramIndex(rules)
     text = F.coalesce(F.col("text"), F.lit(""))
-    indexed = documents.select("doc_id", text.alias("_text"), F.lower(text).alias("_lower")).select(
-        "doc_id", "_text", *index.postings(F.col("_lower"))
-    )
-    none = F.array().cast(SPAN)
-    found = indexed.select(
-        "doc_id",
-        *(F.when(index.holds(index.queries[r.kind]) & F.rlike("_text", F.lit(r.regex)), _spans(F.col("_text"), r, i)).otherwise(none).alias(r.kind) for i, r in enumerate(rules)),
-    )
+    work = documents.select("doc_id", *_content(text), text.alias("_text")).join(index.find(documents).hint("merge"), ["h1", "h2"], "left")
+    found = work.select("doc_id", *(c.alias(r.kind) for r, c in zip(rules, index.spans(F.col("_text"), F.col("passed")), strict=True)))
     names = F.array(*(F.lit(r.kind) for r in rules))
 
     def report(spans: Column) -> Column:
@@ -278,12 +314,9 @@ def redact(documents: DataFrame, rules=RULES) -> DataFrame:
     The spans are those of ``scan``, on the text as it was; overlapping ones are one mask.
     """
     index = TrigramIndex(rules)
-    row = documents.select(F.struct(*(documents[c] for c in documents.columns)).alias("_row"))
-    work = row.select("_row", F.col("_row.text").alias("_text")).select("_row", "_text", *index.postings(F.lower("_text")))
-    none = F.array().cast(SPAN)
-    text = F.col("_text")
-    spans = F.concat(*(F.when(index.holds(index.queries[r.kind]) & F.rlike(text, F.lit(r.regex)), _spans(text, r, i)).otherwise(none) for i, r in enumerate(rules)))
-    found = work.select("_row", "_text", spans.alias("_found"))
+    text = F.col("_row.text")
+    rows = packed(documents).select("_row", *_content(F.coalesce(text, F.lit(""))))
+    work = rows.join(index.find(documents).hint("merge"), ["h1", "h2"], "left")
+    found = work.select("_row", F.concat(*index.spans(text, F.col("passed"))).alias("_found"))
     clean = F.when(F.size("_found") > 0, _masked(text, _united(F.col("_found")))).otherwise(text)
-    columns = [clean.alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in documents.columns]
-    return found.select(*columns)
+    return found.select(*unpacked(documents, text=clean))

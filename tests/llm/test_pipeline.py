@@ -36,3 +36,14 @@ def test_stages_are_the_operators_one_after_the_other(spark, tmp_path):
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 0 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_odd_rows_and_an_empty_table(spark, odd, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and clashing names go through; so does an empty table."""
+    for name, docs in (("odd", odd.selectExpr("*", "1 AS `a.b`", "2 AS _row")), ("none", odd.limit(0))):
+        columns = docs.columns
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            stage(spark, docs, SF).write.parquet(f"{tmp_path}/{name}{i}")
+            docs = spark.read.parquet(f"{tmp_path}/{name}{i}")
+            assert i == 4 or docs.columns == columns
+        assert docs.count() == 0 if name == "none" else docs.count() > 0

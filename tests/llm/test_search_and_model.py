@@ -41,18 +41,36 @@ def test_huge_components_stay_exact(spark):
     assert search(spark, rows) == brute(rows, 5, lambda i: i % 3 == 0)
 
 
-def test_few_exact_reads():
-    """The bounds leave most vectors unread, and the result is exact."""
+def test_few_exact_reads(spark, monkeypatch):
+    """The bounds leave most vectors unread, and the result is exact, over several blocks of queries too."""
     rng = np.random.default_rng(4)
-    vectors = np.floor(256 * rng.normal(size=(1000, 64)) / 8)
-    queries = vectors[:5]
-    got = topk_search.search_block(np.arange(5), queries, np.arange(1000), vectors, 5)
-    want = []
-    for q in range(5):
-        scores = vectors @ queries[q]
-        order = [i for i in np.lexsort((np.arange(1000), -scores)) if i != q][:5]
-        want += [(q, i, int(scores[i])) for i in order]
-    assert [(int(a), b, c) for a, b, c in got] == want
+    rows = [(i, (rng.normal(size=32) / 8).tolist()) for i in range(1500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    queries = df.where("vec_id % 50 = 0")
+    monkeypatch.setattr(topk_search, "QUERY_BYTES", 33 * 8 * 8)
+    _, asked, kept, paths = topk_search.candidates(df, queries, 5)
+    assert asked.count() == 30 and len([p for p in paths if "/candidates-" in p]) == 4
+    assert kept.count() < 0.03 * 30 * 1500
+    assert sorted(map(tuple, topk_search.top_k(df, queries, 5).collect())) == brute(rows, 5, lambda i: i % 50 == 0)
+
+
+def test_bounds_hold():
+    rng = np.random.default_rng(5)
+    values = np.floor(256 * rng.normal(size=(300, 16)) * 2.0 ** rng.integers(-3, 9, size=16))
+    low, width = values.min(axis=0), np.maximum(1, np.ceil((np.ptp(values, axis=0) + 1) / topk_search.CELLS))
+    codes = topk_search.cells_of(values, low, width)
+    bounds = topk_search.Bounds(np.arange(20), values[:20], low, width, 300)
+    q, v, lower, upper = bounds.scan(np.arange(300), np.zeros(300, bool), codes)
+    scores = np.einsum("ij,ij->i", values[q], values[v])
+    assert len(q) == 20 * 299 and (lower <= scores).all() and (scores <= upper).all()
+
+
+def test_one_vector_in_many_rows_and_other_columns(spark):
+    rows = [(i, [1.0, 1.0]) for i in range(300)] + [(1000, [2.0, 0.5]), (1002, [-1.0, 3.0])]
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "vec_id long, embedding array<float>, rid int, `a.b` int, rank int")
+    asked = df.where("vec_id IN (0, 1002)")
+    assert topk_search.candidates(df, asked, 2)[0].count() == 5
+    assert sorted(map(tuple, topk_search.top_k(df, asked, 2).collect())) == brute(rows, 2, lambda i: i in (0, 1002))
 
 
 # -- quality
@@ -99,3 +117,25 @@ def test_whole_texts_are_read(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
     got = {r.doc_id: r.score for r in quality_model.classify(docs, labels).collect()}
     assert got[1001] > 0.5 > got[1002]
+
+
+def test_scorer_is_the_mean_and_softmax(spark):
+    """The per-word table against the plain formula: learned vectors averaged over all features, then softmax."""
+    rng = np.random.default_rng(3)
+    bags = [(y, *quality_model.bag(t)) for y, t in [(1, "some good words here"), (0, "bad bad words"), (1, "good é text"), (0, "")]]
+    logits, bias = quality_model.train([(y, i.astype(np.int64), c.astype(np.float64)) for y, i, c in bags])
+    scorer = quality_model.Scorer(logits, bias)
+    words = [f"w{i}" for i in range(50)] + ["é", "good", "bad"]
+    for n in (1, 3, 40, 400, 0):
+        text = " ".join(words[i] for i in rng.integers(0, len(words), n))
+        ids, counts = quality_model.bag(text)
+        mean = (logits[ids] * counts).sum() / counts.sum() if len(ids) else 0.0
+        both = np.exp([0.0, mean + bias])
+        assert math.isclose(scorer.score(text), both[1] / both.sum(), rel_tol=1e-6)
+    small = quality_model.TABLE_ENTRIES
+    try:
+        quality_model.TABLE_ENTRIES = 3
+        again = quality_model.Scorer(logits, bias)
+        assert [again.score(t) for t in ("a b c d e f", "good words", "a b c d e f")] == [scorer.score(t) for t in ("a b c d e f", "good words", "a b c d e f")]
+    finally:
+        quality_model.TABLE_ENTRIES = small
