@@ -45,7 +45,7 @@ def materialise(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -56,6 +56,11 @@ def discard(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that are through: it does once the driver's collector has found them unused."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def packed(df: DataFrame) -> DataFrame:
     """All columns of ``df``, of any name, as one struct ``_row``: no helper column can clash with them."""
     return df.select(F.struct(*(F.col(quoted(c)).alias(c) for c in df.columns)).alias("_row"))

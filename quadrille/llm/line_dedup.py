@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .banding import elect, linked
-from .common import broadcast_if_small, discard, let, materialise, packed, unpacked
+from .common import broadcast_if_small, discard, let, materialise, packed, release, unpacked
 
 THRESHOLD = 0.8
 SHINGLE, WIDE, SHORT = 5, 9, 40
@@ -80,15 +80,20 @@ def _distinct(lines: DataFrame) -> DataFrame:
 
 
 def _signed(nodes: DataFrame, whole: bool = False) -> DataFrame:
-    """id, width, keys (of the bands) and found (different minima) of every line, one row per width of its shingles; ``whole``: without the limit."""
+    """id, width, keys (of the bands, null without minima) and found (different minima) of every line.
+
+    One row per line, and a second one of the other width for short lines, or with ``whole``
+    for all; ``whole`` is without the limit.
+    """
     both, wide = F.array(F.lit(WIDE), F.lit(SHINGLE)), F.array(F.lit(WIDE))
-    widths = both if whole else F.when(F.col("chars") <= SHORT, both).otherwise(wide)
+    widths = both if whole else F.when(F.length("line") <= SHORT, both).otherwise(wide)
     kinds = nodes.select("id", F.encode("line", "UTF-32").alias("b"), F.explode(widths).alias("width"))
     n = F.greatest(F.shiftright(F.octet_length("b"), 2) - F.col("width") + 1, F.lit(1))
     each = kinds.select("id", "b", "width", n.alias("n"), F.explode(_offsets(F.octet_length("b"), F.col("width"))).alias("i"))
-    hashed = each.select("id", "width", "n", F.xxhash64(F.substring(F.col("b"), F.col("i"), 4 * F.col("width"))).alias("s"))
-    if not whole:  # the upper 31 bits, as a share of all, below SAMPLE / n
-        hashed = hashed.where(F.shiftrightunsigned("s", 33) * F.col("n") < SAMPLE << 31)
+    hashed = each.select("id", "width", "n", "i", F.xxhash64(F.substring(F.col("b"), F.col("i"), 4 * F.col("width"))).alias("s"))
+    if not whole:  # the upper 31 bits, as a share of all, below SAMPLE / n; the first row stands for the line
+        below = F.shiftrightunsigned("s", 33) * F.col("n") < SAMPLE << 31
+        hashed = hashed.where(below | (F.col("i") == 1)).withColumn("s", F.when(below, F.col("s")))
     # Each hash function is a one-to-one map of the hashes: a shift, that no two of a band share, and a mask.
     maps = []
     for i in range(BANDS * ROWS):
@@ -98,26 +103,30 @@ def _signed(nodes: DataFrame, whole: bool = False) -> DataFrame:
         maps.append((lambda x, moved=moved, m=m: moved(x).bitwiseXOR(m), lambda y, moved=moved, m=m: moved(y.bitwiseXOR(m))))
     least = hashed.groupBy("id", "width").agg(*(F.min(to(F.col("s"))).alias(f"m{i}") for i, (to, _) in enumerate(maps)))
     kind = F.col("width") + (100 if whole else 0)
-    keys = [F.xxhash64(kind, F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)]
-    return least.select("id", "width", F.array(*keys).alias("keys"), F.size(F.array_distinct(F.array(*(back(F.col(f"m{i}")) for i, (_, back) in enumerate(maps))))).alias("found"))
+    keys = F.array(*(F.xxhash64(kind, F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)))
+    found = F.size(F.array_distinct(F.array(*(back(F.col(f"m{i}")) for i, (_, back) in enumerate(maps)))))
+    return least.select("id", "width", F.when(F.col("m0").isNotNull(), keys).alias("keys"), found.alias("found"))
 
 
 def duplicate_lines(documents: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, list[str]]:
     """(h1, h2, root, doc) of every distinct line that occurs twice or has a near copy; doc: its component's smallest."""
     spark = documents.sparkSession
-    nodes, at_nodes = materialise(_distinct(_lines(documents)).select("*", F.length("line").alias("chars"), F.monotonically_increasing_id().alias("id")), "lines")
+    nodes, at_nodes = materialise(_distinct(_lines(documents)).select("*", F.monotonically_increasing_id().alias("id")), "lines")
+    release(spark)
     signed, at_signed = materialise(_signed(nodes), "signed")
+    release(spark)
     # Repetitive lines: few shingles were below the limit, or none.
-    enough = signed.where((F.col("width") == WIDE) & (F.col("found") >= FEWEST)).select("id")
-    lacking, at_lacking = materialise(nodes.select("id").join(enough, "id", "left_anti"), "lacking")
-    redone = nodes.join(broadcast_if_small(lacking, lacking.count(), 16), "id")
-    keyed, at_keyed = materialise(signed.select("id", "keys").unionByName(_signed(redone, True).select("id", "keys")), "keyed")
+    few = signed.where((F.col("width") == WIDE) & (F.col("found") < FEWEST)).select("id")
+    redone = _signed(nodes.join(broadcast_if_small(few, few.count(), 16), "id"), True)
+    keyed = signed.unionByName(redone).where("keys IS NOT NULL")
     first = elect(keyed.select(F.explode("keys").alias("key"), "id"))
+    release(spark)
 
     ids = first.pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     # The lines travel, not their sets: eight bytes a shingle would be many times the text.
     chosen = ids.join(nodes.select("id", "line"), "id")
     texts, at_texts = materialise(chosen.select("id", "line", F.size(shingles(F.col("line"))).alias("size")), "texts")
+    release(spark)
 
     def confirm(pairs: DataFrame) -> DataFrame:
         left = texts.select(F.col("id").alias("a"), F.col("line").alias("x"), F.col("size").alias("m"))
@@ -127,7 +136,7 @@ def duplicate_lines(documents: DataFrame, threshold: float = THRESHOLD) -> tuple
         return sized.select("a", "b", "m", "n", both.alias("both")).where(F.col("both") >= threshold * (F.col("m") + F.col("n") - F.col("both"))).select("a", "b")
 
     table, at_table = linked(first, confirm)
-    for path in (*first.paths, at_texts, at_signed, at_lacking, at_keyed):
+    for path in (*first.paths, at_texts, at_signed):
         discard(spark, path)
 
     rooted = nodes.select("id", "h1", "h2", "n", "doc").join(table, "id", "left").where("n > 1 OR root IS NOT NULL")
@@ -136,6 +145,7 @@ def duplicate_lines(documents: DataFrame, threshold: float = THRESHOLD) -> tuple
     found, at_found = materialise(rooted.drop("doc").join(smallest, "root"), "repeated")
     for path in (at_nodes, *at_table, at_rooted, at_smallest):
         discard(spark, path)
+    release(spark)
     return found, [at_found]
 
 
@@ -150,6 +160,7 @@ def cut_positions(documents: DataFrame, threshold: float = THRESHOLD) -> tuple[D
     cuts, at_cuts = materialise(marked.groupBy("w1", "w2").agg(F.collect_set("pos").alias("cut")), "cuts")
     for path in (*at_repeated, at_hits):
         discard(spark, path)
+    release(spark)
     return cuts, [at_cuts]
 
 
