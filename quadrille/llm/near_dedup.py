@@ -40,7 +40,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 16, 4
 TABLE_ENTRIES, LONG_WORD = 1_000_000, 64
 #: Left members of a bucket up to which its pairs are verified one by one; members of a block beyond.
-FEW, BLOCK = 8, 256
+FEW, BLOCK = 8, 1024
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _ODD, _S33 = np.uint64(0x9E3779B97F4A7C15), np.uint64(33)
 
@@ -238,12 +238,12 @@ def _linked(first: Election, texts: DataFrame, threshold: float) -> tuple[DataFr
         counted = large.groupBy("key", "root").agg(F.count("*").alias("c"))
         most = counted.groupBy("key").agg(F.max(F.struct("c", "root")).alias("most"), F.sum("c").alias("all"))
         largest = most.select("key", F.col("most.root").alias("largest"), F.ceil((F.col("all") - F.col("most.c")) / BLOCK).cast("int").alias("fronts"), F.ceil(F.col("all") / BLOCK).cast("int").alias("backs"))
-        placed = large.join(largest, "key")
+        placed = large.join(largest, "key").join(texts, "id")
         each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         dealt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-        left = placed.where("root <> largest").select("key", "id", "root", F.lit(True).alias("first"), dealt("fronts").alias("front"), each("backs").alias("back"))
-        right = placed.select("key", "id", "root", F.lit(False).alias("first"), each("fronts").alias("front"), dealt("backs").alias("back"))
-        block = left.unionByName(right).join(texts, "id").select("key", "front", "back", "id", "root", "first", "text")
+        left = placed.where("root <> largest").select("key", "id", "root", "text", F.lit(True).alias("first"), dealt("fronts").alias("front"), each("backs").alias("back"))
+        right = placed.select("key", "id", "root", "text", F.lit(False).alias("first"), each("fronts").alias("front"), dealt("backs").alias("back"))
+        block = left.unionByName(right)
         blocks = block.groupBy("key", "front", "back").applyInArrow(_compare(threshold), "a long, b long")
 
         edges, at_edges = materialise(single.unionByName(blocks), "edges")
