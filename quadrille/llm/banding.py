@@ -41,10 +41,9 @@ def elect(members: DataFrame) -> Election:
     most places in buckets overall (in a group of near copies, the one closest to the rest).
     ``linked`` compares the rest.
     """
-    spark = members.sparkSession
     sizes = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared, at_shared = materialise(members.join(sizes, "key"), "shared")
-    centre, at_centre = materialise(shared.groupBy("id").agg(F.sum("n").alias("places")), "centre")
+    centre = shared.groupBy("id").agg(F.sum("n").alias("places"))
     led = shared.join(centre, "id").groupBy("key").agg(
         F.min("id").alias("first"),
         F.max(F.struct("places", "id")).alias("central"),
@@ -55,7 +54,6 @@ def elect(members: DataFrame) -> Election:
     each = shared.join(leaders, "key").select("id", F.explode("leaders").alias("leader")).where("id <> leader")
     pairs = each.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
     found, at_pairs = materialise(pairs, "pairs")
-    discard(spark, at_centre)
     return Election(found, shared, leaders, [at_pairs, at_shared, at_leaders])
 
 
@@ -110,27 +108,36 @@ def components(edges: DataFrame) -> tuple[DataFrame, list[str]]:
     """(id, root) for every id in ``edges`` (a, b): root is the smallest id of its component.
 
     Each round links every node to the smallest neighbour of its parent, then every node and
-    its parents to the smallest parent, until nothing changes: rounds grow with the logarithm
-    of a component's width. Each half is written to the shared folder, so lineage stays short.
+    its parents to the smallest parent, until each node has one parent and no parent has one:
+    rounds grow with the logarithm of a component's width. Each half is written to the shared
+    folder, so lineage stays short.
     """
     spark = edges.sparkSession
     links, path = materialise(edges.select(F.greatest("a", "b").alias("c"), F.least("a", "b").alias("p")).where("c <> p").distinct(), "links")
-    mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("c", "p").cast("decimal(38,0)"))).first()
-    before = mark(links)
+    before = None
     while True:
-        least, at_least = materialise(links.groupBy("c").agg(F.min("p").alias("m")), "least")
-        up = least.select(F.col("c").alias("p"), "m")
+        state = _state(links)
+        if state.unsettled == 0 or state == before:
+            break
+        before = state
+        up = links.groupBy(F.col("c").alias("p")).agg(F.min("p").alias("m"))
         jumped, at_jumped = materialise(links.join(up, "p", "left").select("c", F.coalesce("m", "p").alias("p")).distinct(), "jumped")
-        lowest, at_lowest = materialise(jumped.groupBy("c").agg(F.min("p").alias("m")), "lowest")
+        lowest = jumped.groupBy("c").agg(F.min("p").alias("m"))
         joined = jumped.join(lowest, "c").select(F.explode(F.array(F.struct("c", F.col("m").alias("p")), F.struct(F.col("p").alias("c"), F.col("m").alias("p")))).alias("x"))
         following, at_following = materialise(joined.select("x.c", "x.p").where("c <> p").distinct(), "links")
-        after = mark(following)
-        for old in (path, at_least, at_jumped, at_lowest):
+        for old in (path, at_jumped):
             discard(spark, old)
         links, path = following, at_following
-        if after == before:
-            break
-        before = after
     roots = links.select(F.col("p").alias("id")).distinct()
     table = links.select(F.col("c").alias("id"), F.col("p").alias("root")).unionByName(roots.select("id", F.col("id").alias("root")))
     return table, [path]
+
+
+def _state(links: DataFrame):
+    """How many nodes have two parents or are parent and child both, and a checksum of ``links`` (c, p)."""
+    ends = F.array(
+        F.struct(F.col("c").alias("node"), F.lit(1).alias("parents"), F.lit(0).alias("leads"), F.xxhash64("c", "p").cast("decimal(20,0)").alias("sum")),
+        F.struct(F.col("p").alias("node"), F.lit(0).alias("parents"), F.lit(1).alias("leads"), F.lit(0).cast("decimal(20,0)").alias("sum")),
+    )
+    nodes = links.select(F.explode(ends).alias("x")).select("x.*").groupBy("node").agg(F.sum("parents").alias("parents"), F.max("leads").alias("leads"), F.sum("sum").alias("sum"))
+    return nodes.agg(F.count_if((F.col("parents") + F.col("leads")) > 1).alias("unsettled"), F.sum("parents").alias("links"), F.sum("sum").alias("sum")).first()
