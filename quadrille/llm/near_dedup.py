@@ -39,6 +39,8 @@ from .common import broadcast_if_small, discard, materialise, packed, unpacked
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 16, 4
 TABLE_ENTRIES, LONG_WORD = 1_000_000, 64
+#: Distinct shingles of texts whose darts are thrown in one go.
+TOGETHER = 1 << 15
 #: Left members of a bucket up to which its pairs are verified one by one; members of a block beyond.
 FEW, BLOCK = 8, 1024
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -80,50 +82,80 @@ class Shingler:
 
 
 def dart_signature(elements: np.ndarray, weights: np.ndarray, k: int = BANDS * ROWS) -> np.ndarray:
-    """The k earliest darts of a weighted set (weights above 0, not all need be whole).
+    """The k earliest darts of a weighted set (weights above 0, not all need be whole)."""
+    return dart_signatures([(elements, weights)], k)[0]
+
+
+def dart_signatures(sets: list[tuple[np.ndarray, np.ndarray]], k: int = BANDS * ROWS) -> np.ndarray:
+    """A row for each weighted set, none of them empty: its k earliest darts.
 
     The weight axis is cut into regions 0 to 1, 1 to 2, 2 to 4, 4 to 8 and so on. Darts come
     in each region that a weight reaches at a rate of the region's height, so the darts thrown
-    are at most about twice those that land, whatever the weights.
+    are at most about twice those that land, whatever the weights. All sets are thrown at together.
     """
+    elements, weights = np.concatenate([e for e, _ in sets]), np.concatenate([w for _, w in sets])
+    owners = np.repeat(np.arange(len(sets)), [len(e) for e, _ in sets])
     reached = 1 + np.ceil(np.log2(np.maximum(weights, 1))).astype(np.int64)
     nth = np.arange(int(reached.sum())) - np.repeat(np.cumsum(reached) - reached, reached)
     cells = _mix(np.repeat(elements, reached) + nth.astype(np.uint64) * _ODD)
     height = np.where(nth == 0, 1.0, 2.0 ** (nth - 1))
     room = np.repeat(weights, reached) - np.where(nth == 0, 0.0, height)  # what the weight covers, from the region's edge
-    limit = (k * np.log(k) + 2 * k) / float(weights.sum())
-    while True:
-        live, at, state = cells, np.zeros(len(cells)), cells
-        space, rate = room, height
-        darts, ranks = [], []
-        while len(live):
+    limit = (k * np.log(k) + 2 * k) / np.bincount(owners, weights, len(sets))
+    owners = np.repeat(owners, reached)
+    signatures = np.empty((len(sets), k), np.uint64)
+    while len(cells):
+        state, at, own, space, rate = cells, np.zeros(len(cells)), owners, room, height
+        darts, ranks, whose = [], [], []
+        while len(state):
             state = _mix(state + _ODD)
             at = at - np.log((state >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54) / rate
-            near = at <= limit
-            state, at, space, rate = state[near], at[near], space[near], rate[near]
-            live = state
+            near = at <= limit[own]
+            state, at, own, space, rate = state[near], at[near], own[near], space[near], rate[near]
             dart = _mix(state ^ _M1)
             hit = (_mix(dart) >> np.uint64(11)).astype(np.float64) * 2.0**-53 * rate < space  # a dart above the weight does not land
             darts.append(dart[hit])
             ranks.append(at[hit])
-        dart, rank = np.concatenate(darts), np.concatenate(ranks)
-        order = np.argsort(rank, kind="stable")
-        slot = (dart[order] >> np.uint64(32)) % np.uint64(k)
-        found, first = np.unique(slot, return_index=True)
-        if len(found) == k:
-            return dart[order][first]
-        limit *= 2
-
-
-def band_keys(signature: np.ndarray) -> np.ndarray:
-    """One signed 64-bit key per band."""
-    parts = signature.reshape(BANDS, ROWS)
-    keys = np.arange(BANDS, dtype=np.uint64)
+            whose.append(own[hit])
+        dart, whose = np.concatenate(darts), np.concatenate(whose)
+        order = np.argsort(np.concatenate(ranks), kind="stable")
+        dart, whose = dart[order], whose[order]
+        found, first = np.unique(whose * k + ((dart >> np.uint64(32)) % np.uint64(k)).astype(np.int64), return_index=True)
+        full = np.bincount(found // k, minlength=len(sets)) == k
+        chosen = full[found // k]
+        signatures[found[chosen] // k, found[chosen] % k] = dart[first[chosen]]
+        limit = limit * 2
+        again = ~full[owners]
+        cells, owners, room, height = cells[again], owners[again], room[again], height[again]
+    return signatures
+
+
+def band_keys(signatures: np.ndarray) -> np.ndarray:
+    """One signed 64-bit key per band of each signature."""
+    parts = signatures.reshape(-1, BANDS, ROWS)
+    keys = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), parts.shape[:2])
     for r in range(ROWS):
-        keys = _mix(keys * _ODD + parts[:, r])
+        keys = _mix(keys * _ODD + parts[:, :, r])
     return keys.view(np.int64)
 
 
+def text_keys(shingler: Shingler, texts: list[str]) -> list[list[int] | None]:
+    """The band keys of each text, null without words; ``TOGETHER`` elements or one longer text at a time."""
+    keys: list = [None] * len(texts)
+    places, sets, held = [], [], 0
+    for i, text in enumerate([*texts, None]):
+        weighted = None if text is None else shingler.shingles(text)
+        size = 0 if weighted is None else len(weighted[0])
+        if sets and (text is None or held + size > TOGETHER):
+            for place, row in zip(places, band_keys(dart_signatures(sets)).tolist(), strict=True):
+                keys[place] = row
+            places, sets, held = [], [], 0
+        if size:
+            places.append(i)
+            sets.append(weighted)
+            held += size
+    return keys
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard similarity of two shingle sets."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
@@ -143,10 +175,7 @@ def _signed(documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
-            bands = []
-            for text in batch.column(3).to_pylist():
-                elements, counts = shingler.shingles(text)
-                bands.append(band_keys(dart_signature(elements, counts)) if len(elements) else None)
+            bands = text_keys(shingler, batch.column(3).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "h1", "h2", "bands"])
 
     text = F.coalesce("text", F.lit(""))
