@@ -8,14 +8,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, materialise
 
 
-#: Leaders of a bucket in the second election, how many times more in each later one, members of a block.
-WIDTH, WIDER, BLOCK = 16, 4, 2048
+#: Leaders of a bucket in the second election, members of a block.
+WIDTH, BLOCK = 16, 2048
 
 
 class Election(NamedTuple):
@@ -41,8 +41,8 @@ def elect(members: DataFrame) -> Election:
     most places in buckets overall (in a group of near copies, the one closest to the rest).
     ``linked`` compares the rest.
     """
-    sizes = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared, at_shared = materialise(members.join(sizes, "key"), "shared")
+    counted = members.select("key", "id", F.count("*").over(Window.partitionBy("key")).alias("n"))
+    shared, at_shared = materialise(counted.where("n > 1"), "shared")
     centre = shared.groupBy("id").agg(F.sum("n").alias("places"))
     led = shared.join(centre, "id").groupBy("key").agg(
         F.min("id").alias("first"),
@@ -57,24 +57,31 @@ def elect(members: DataFrame) -> Election:
     return Election(found, shared, leaders, [at_pairs, at_shared, at_leaders])
 
 
-def linked(first: Election, confirm: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, list[str]]:
+def linked(
+    first: Election,
+    confirm: Callable[[DataFrame], DataFrame],
+    marks: DataFrame | None = None,
+    possible: Callable[[str, str], Column] | None = None,
+) -> tuple[DataFrame, list[str]]:
     """(id, root) as of ``components`` over all pairs of bucket members that ``confirm`` keeps.
 
     Members that have led are through with their bucket. What is left of a bucket is in one
-    component, or elects further leaders, more each time, that meet all members of other
-    components: in the end each pair was verified or its ends are in one component, so the
-    components are those of all pairs of each bucket. Large buckets meet their leaders block by block.
+    component, or elects ``WIDTH`` further leaders that meet all members of other components; then
+    all that are still in several components meet: each pair was verified or its ends are in one
+    component, so the components are those of all pairs of each bucket. Large buckets meet block by
+    block. With ``marks`` (id, mark) a meeting makes a row only where ``possible`` holds for the
+    marks, which must be false for none that ``confirm`` keeps.
     """
     spark = first.pairs.sparkSession
     table, at_table = components(confirm(first.pairs))
     others = first.shared.where("n > 2").join(first.leaders, "key").where("NOT array_contains(leaders, id)")
     rest, at_rest = materialise(others.select("key", "id"), "rest")
-    tested, at_tested, width, turn = first.pairs, [], WIDTH, 0
+    tested, at_tested, turn = first.pairs, [], 0
     while True:
         lot = F.xxhash64("id", "key", F.lit(turn))
         rooted, at_rooted = materialise(rest.join(table, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"), lot.alias("lot")), "rooted")
         sizes = rooted.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.min("lot").alias("least"))
-        leads = (F.col("lot") == F.col("least")) | (F.pmod("lot", "n") < width)
+        leads = F.lit(True) if turn else (F.col("lot") == F.col("least")) | (F.pmod("lot", "n") < WIDTH)
         still = rooted.join(sizes.where("low < high"), "key").select("key", "id", "root", "n", leads.alias("leads"))
         members, at_members = materialise(still, "members")
         for path in (at_rest, at_rooted):
@@ -82,9 +89,13 @@ def linked(first: Election, confirm: Callable[[DataFrame], DataFrame]) -> tuple[
         if members.isEmpty():
             break
         blocks = F.ceil(F.col("n") / BLOCK)
-        dealt = members.select("key", F.pmod(F.xxhash64("id"), blocks).alias("block"), "id", "root")
-        leaders = members.where("leads").select("key", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), F.col("id").alias("leader"), F.col("root").alias("other"))
-        met = dealt.join(leaders, ["key", "block"]).where("root <> other")
+        marked = members if marks is None else members.join(marks, "id")
+        own, its = ([F.col(c).alias(f"{of}_{c}") for c in (marks.columns if marks is not None else ()) if c != "id"] for of in ("own", "its"))
+        dealt = marked.select("key", F.pmod(F.xxhash64("id"), blocks).alias("block"), "id", "root", "leads", *own)
+        each = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block")
+        leaders = marked.where("leads").select("key", each, F.col("id").alias("leader"), F.col("root").alias("other"), *its)
+        meet = (F.col("root") != F.col("other")) & (~F.col("leads") | (F.col("id") < F.col("leader")))
+        met = dealt.join(leaders, ["key", "block"]).where(meet if possible is None else meet & possible("own_", "its_"))
         pairs = met.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
         fresh, at_fresh = materialise(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         edges, at_edges = materialise(confirm(fresh), "edges")
@@ -98,7 +109,7 @@ def linked(first: Election, confirm: Callable[[DataFrame], DataFrame]) -> tuple[
         for path in (at_members, at_edges):
             discard(spark, path)
         tested, at_tested = tested.unionByName(fresh), [*at_tested, at_fresh]
-        width, turn = width * WIDER, turn + 1
+        turn += 1
     for path in (*at_tested, at_members):
         discard(spark, path)
     return table, at_table

@@ -36,6 +36,8 @@ SHINGLE, WIDE, SHORT = 5, 9, 40
 BANDS, ROWS = 12, 3
 #: Shingles that a line's minima are taken over, about; below so many different ones the line gets minima over all, too.
 SAMPLE, FEWEST = 32, 8
+#: Longs of a line's mark.
+WORDS = 48
 NO_ID = -(2**63)
 SPACES = "\t\r\x0b\f"
 
@@ -74,25 +76,34 @@ def _whole(doc: Column, text: Column) -> tuple[Column, Column]:
     return F.xxhash64(doc, text).alias("w1"), F.xxhash64(F.lit(1), doc, text).alias("w2")
 
 
-def _distinct(lines: DataFrame) -> DataFrame:
-    """One row per distinct line: line, h1, h2, how often it occurs, its smallest doc."""
-    return lines.groupBy("h1", "h2", "line").agg(F.count("*").alias("n"), F.min("doc").alias("doc"))
+def _distinct(lines: DataFrame, *more: Column) -> DataFrame:
+    """One row per distinct line: h1, h2, line, how often it occurs, its smallest doc, and what ``more`` aggregates.
+
+    Dealt by (h1, h2), so that ``_signed`` finds a line's shingles where the line is.
+    """
+    return lines.groupBy("h1", "h2").agg(F.min("line").alias("line"), F.count("*").alias("n"), F.min("doc").alias("doc"), *more)
 
 
-def _signed(nodes: DataFrame, whole: bool = False) -> DataFrame:
-    """id, width, keys (of the bands, null without minima) and found (different minima) of every line.
+def _signed(nodes: DataFrame, sample: int | None = SAMPLE, kind: int = 0) -> DataFrame:
+    """id, h1, h2, n, doc, width, keys (of the bands, null without minima) and found (different minima) of every line.
 
-    One row per line, and a second one of the other width for short lines, or with ``whole``
-    for all; ``whole`` is without the limit.
+    One row per line, and a second one of the other width for short lines, or for all with a
+    ``kind`` above 0; no limit where ``sample`` is none. Wide shingles are nine bytes of UTF-8,
+    the others five characters.
     """
     both, wide = F.array(F.lit(WIDE), F.lit(SHINGLE)), F.array(F.lit(WIDE))
-    widths = both if whole else F.when(F.length("line") <= SHORT, both).otherwise(wide)
-    kinds = nodes.select("id", F.encode("line", "UTF-32").alias("b"), F.explode(widths).alias("width"))
-    n = F.greatest(F.shiftright(F.octet_length("b"), 2) - F.col("width") + 1, F.lit(1))
-    each = kinds.select("id", "b", "width", n.alias("n"), F.explode(_offsets(F.octet_length("b"), F.col("width"))).alias("i"))
-    hashed = each.select("id", "width", "n", "i", F.xxhash64(F.substring(F.col("b"), F.col("i"), 4 * F.col("width"))).alias("s"))
-    if not whole:  # the upper 31 bits, as a share of all, below SAMPLE / n; the first row stands for the line
-        below = F.shiftrightunsigned("s", 33) * F.col("n") < SAMPLE << 31
+    widths = both if kind else F.when(F.length("line") <= SHORT, both).otherwise(wide)
+    own = ("h1", "h2", "id")
+    kinds = nodes.select(*own, F.col("n").alias("times"), "doc", "line", F.explode(widths).alias("width"))
+    is_wide = F.col("width") == WIDE
+    octets = F.when(is_wide, F.col("line").cast("binary")).otherwise(F.encode("line", "UTF-32"))
+    step, span = F.when(is_wide, 1).otherwise(4), F.when(is_wide, WIDE).otherwise(4 * SHINGLE)
+    cut = kinds.select(*own, "times", "doc", "width", octets.alias("b"), step.alias("step"), span.alias("span"))
+    last = F.greatest(F.octet_length("b") - F.col("span") + 1, F.lit(1))
+    each = cut.select("*", (F.floor((last - 1) / F.col("step")) + 1).alias("n"), F.explode(F.sequence(F.lit(1), last, F.col("step"))).alias("i"))
+    hashed = each.select(*own, "times", "doc", "width", "n", "i", F.xxhash64(F.substring(F.col("b"), F.col("i"), F.col("span"))).alias("s"))
+    if sample is not None:  # the upper 31 bits, as a share of all, below sample / n; the first row stands for the line
+        below = F.shiftrightunsigned("s", 33) * F.col("n") < sample << 31
         hashed = hashed.where(below | (F.col("i") == 1)).withColumn("s", F.when(below, F.col("s")))
     # Each hash function is a one-to-one map of the hashes: a shift, that no two of a band share, and a mask.
     maps = []
@@ -101,49 +112,97 @@ def _signed(nodes: DataFrame, whole: bool = False) -> DataFrame:
         by, m = 32 + 7 * i % 23, F.lit(mask - 2**64 if mask >= 2**63 else mask)
         moved = lambda x, by=by: x.bitwiseXOR(F.shiftleft(x, by))  # noqa: E731  its own inverse, as by is 32 or more
         maps.append((lambda x, moved=moved, m=m: moved(x).bitwiseXOR(m), lambda y, moved=moved, m=m: moved(y.bitwiseXOR(m))))
-    least = hashed.groupBy("id", "width").agg(*(F.min(to(F.col("s"))).alias(f"m{i}") for i, (to, _) in enumerate(maps)))
-    kind = F.col("width") + (100 if whole else 0)
-    keys = F.array(*(F.xxhash64(kind, F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)))
+    minima = (F.min(to(F.col("s"))).alias(f"m{i}") for i, (to, _) in enumerate(maps))
+    least = hashed.groupBy(*own, "width").agg(F.min("times").alias("n"), F.min("doc").alias("doc"), *minima)
+    keys = F.array(*(F.xxhash64(F.col("width") + 100 * kind, F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)))
     found = F.size(F.array_distinct(F.array(*(back(F.col(f"m{i}")) for i, (_, back) in enumerate(maps)))))
-    return least.select("id", "width", F.when(F.col("m0").isNotNull(), keys).alias("keys"), found.alias("found"))
+    return least.select(*own, "n", "doc", "width", F.when(F.col("m0").isNotNull(), keys).alias("keys"), found.alias("found"))
+
+
+def _marks(texts: DataFrame) -> DataFrame:
+    """id, line, size (different five-character shingles) and w0, w1 ... (``64 * WORDS`` bits that they set) of every line.
+
+    The lines are dealt by id first: what their many shingles give is gathered where the line is.
+    """
+    dealt = texts.repartition("id").select("id", F.encode("line", "UTF-32").alias("b"))
+    each = dealt.select("id", "b", F.explode(_offsets(F.octet_length("b"), SHINGLE)).alias("i"))
+    hashed = each.select("id", F.xxhash64(F.substring(F.col("b"), F.col("i"), F.lit(4 * SHINGLE))).alias("s"))
+    placed = hashed.select("id", F.pmod(F.shiftrightunsigned("s", 6), F.lit(WORDS)).alias("word"), F.expr("shiftleft(1L, cast(s & 63 AS int))").alias("bit"))
+    bits = placed.groupBy("id", "word").agg(F.bit_or("bit").alias("bits"))
+    words = [F.bit_or(F.when(F.col("word") == k, F.col("bits")).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(WORDS)]
+    return texts.select("id", "line", F.size(shingles(F.col("line"))).alias("size")).join(bits.groupBy("id").agg(*words), "id")
+
+
+def possible(x: str, y: str, threshold: float) -> Column:
+    """False only for lines whose similarity is below the threshold, by columns of ``_marks`` with these prefixes.
+
+    A bit that one line alone sets is a shingle of its own at least; the similarity of sets of
+    sizes m and n that differ in d shingles is (m + n - d) / (m + n + d).
+    """
+    m, n = F.col(f"{x}size"), F.col(f"{y}size")
+    most = (m + n) * F.lit((1 - threshold) / (1 + threshold)) + 1e-6
+    apart = [F.bit_count(F.col(f"{x}w{k}").bitwiseXOR(F.col(f"{y}w{k}"))) for k in range(WORDS)]
+    some = sum(apart[1 : WORDS // 2], apart[0])
+    close = (some <= most) & (sum(apart[WORDS // 2 :], some) <= most)
+    # The lambda keeps a join on this out of whole-stage code: its one method would be too large for the JVM to compile.
+    return (F.least(m, n) >= (threshold - 1e-9) * F.greatest(m, n)) & close & F.exists(F.array(m), lambda v: v >= 0)
 
 
 def duplicate_lines(documents: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, list[str]]:
     """(h1, h2, root, doc) of every distinct line that occurs twice or has a near copy; doc: its component's smallest."""
-    spark = documents.sparkSession
-    nodes, at_nodes = materialise(_distinct(_lines(documents)).select("*", F.monotonically_increasing_id().alias("id")), "lines")
-    release(spark)
-    signed, at_signed = materialise(_signed(nodes), "signed")
+    lines, at_lines = _written(documents)
+    found, paths = _repeated(lines, threshold)
+    discard(documents.sparkSession, at_lines)
+    return found, paths
+
+
+def _written(documents: DataFrame) -> tuple[DataFrame, str]:
+    """The rows of ``_lines``, each with a number ``at``, written once."""
+    return materialise(_lines(documents).select("*", F.monotonically_increasing_id().alias("at")), "lines")
+
+
+def _repeated(lines: DataFrame, threshold: float) -> tuple[DataFrame, list[str]]:
+    """What ``duplicate_lines`` gives, from written lines; a distinct line's id is the smallest ``at`` of its rows."""
+    spark = lines.sparkSession
+    signed, at_signed = materialise(_signed(_distinct(lines, F.min("at").alias("id"))), "signed")
     release(spark)
-    # Repetitive lines: few shingles were below the limit, or none.
-    few = signed.where((F.col("width") == WIDE) & (F.col("found") < FEWEST)).select("id")
-    redone = _signed(nodes.join(broadcast_if_small(few, few.count(), 16), "id"), True)
-    keyed = signed.unionByName(redone).where("keys IS NOT NULL")
-    first = elect(keyed.select(F.explode("keys").alias("key"), "id"))
+    nodes = signed.where(F.col("width") == WIDE).drop("width", "keys", "found")
+    # Repetitive lines: few shingles were below the limit, or none. A higher one for them, and none for those that it leaves few.
+    few = signed.where((F.col("width") == WIDE) & (F.col("found") < FEWEST)).drop("width", "keys", "found")
+    chosen, at_few = materialise(lines.select("line", F.col("at").alias("id")).join(broadcast_if_small(few, few.count(), 64), "id"), "few")
+    again, at_again = materialise(_signed(chosen, 16 * SAMPLE, 1), "again")
+    fewer = again.where((F.col("width") == WIDE) & (F.col("found") < FEWEST)).select("id")
+    redone = _signed(chosen.join(broadcast_if_small(fewer, fewer.count(), 16), "id"), None, 2)
+    keyed = signed.select("id", "keys").unionByName(again.select("id", "keys")).unionByName(redone.select("id", "keys"))
+    first = elect(keyed.where("keys IS NOT NULL").select(F.explode("keys").alias("key"), "id"))
+    for path in (at_few, at_again):
+        discard(spark, path)
     release(spark)
 
     ids = first.pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     # The lines travel, not their sets: eight bytes a shingle would be many times the text.
-    chosen = ids.join(nodes.select("id", "line"), "id")
-    texts, at_texts = materialise(chosen.select("id", "line", F.size(shingles(F.col("line"))).alias("size")), "texts")
+    bare, at_bare = materialise(ids.join(lines.select(F.col("at").alias("id"), "line"), "id"), "bare")
+    release(spark)
+    texts, at_texts = materialise(_marks(bare), "texts")
+    discard(spark, at_bare)
     release(spark)
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        left = texts.select(F.col("id").alias("a"), F.col("line").alias("x"), F.col("size").alias("m"))
-        right = texts.select(F.col("id").alias("b"), F.col("line").alias("y"), F.col("size").alias("n"))
-        both = F.size(F.array_intersect(shingles(F.col("x")), shingles(F.col("y"))))
-        sized = pairs.join(left, "a").join(right, "b").where(F.least("m", "n") >= threshold * F.greatest("m", "n"))
-        return sized.select("a", "b", "m", "n", both.alias("both")).where(F.col("both") >= threshold * (F.col("m") + F.col("n") - F.col("both"))).select("a", "b")
-
-    table, at_table = linked(first, confirm)
-    for path in (*first.paths, at_texts, at_signed):
+        left, right = (texts.select(*(F.col(c).alias(i if c == "id" else f"{i}_{c}") for c in texts.columns)) for i in "ab")
+        both = pairs.join(left, "a").join(right, "b").where(possible("a_", "b_", threshold))
+        common = F.size(F.array_intersect(shingles(F.col("a_line")), shingles(F.col("b_line"))))
+        # common >= threshold * (all - common), with the sets named once: they are made as often as they are named.
+        return both.where(common >= F.lit(threshold / (1 + threshold)) * (F.col("a_size") + F.col("b_size")) - 1e-9).select("a", "b")
+
+    table, at_table = linked(first, confirm, texts.drop("line"), lambda x, y: possible(x, y, threshold))
+    for path in (*first.paths, at_texts):
         discard(spark, path)
 
-    rooted = nodes.select("id", "h1", "h2", "n", "doc").join(table, "id", "left").where("n > 1 OR root IS NOT NULL")
+    rooted = nodes.join(table, "id", "left").where("n > 1 OR root IS NOT NULL")
     rooted, at_rooted = materialise(rooted.select("h1", "h2", "doc", F.coalesce("root", "id").alias("root")), "rooted")
     smallest, at_smallest = materialise(rooted.groupBy("root").agg(F.min("doc").alias("doc")), "smallest")
     found, at_found = materialise(rooted.drop("doc").join(smallest, "root"), "repeated")
-    for path in (at_nodes, *at_table, at_rooted, at_smallest):
+    for path in (at_signed, *at_table, at_rooted, at_smallest):
         discard(spark, path)
     release(spark)
     return found, [at_found]
@@ -152,9 +211,11 @@ def duplicate_lines(documents: DataFrame, threshold: float = THRESHOLD) -> tuple
 def cut_positions(documents: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, list[str]]:
     """(w1, w2, cut): for each document that loses lines, their positions; and the paths to discard."""
     spark = documents.sparkSession
-    repeated, at_repeated = duplicate_lines(documents, threshold)
-    rows = _lines(documents).select("doc", "w1", "w2", "pos", "h1", "h2").join(repeated.withColumnRenamed("doc", "keeper"), ["h1", "h2"])
+    lines, at_lines = _written(documents)
+    repeated, at_repeated = _repeated(lines, threshold)
+    rows = lines.select("doc", "w1", "w2", "pos", "h1", "h2").join(repeated.withColumnRenamed("doc", "keeper"), ["h1", "h2"])
     hits, at_hits = materialise(rows.select("doc", "w1", "w2", "pos", "root", "keeper"), "hits")
+    discard(spark, at_lines)
     stays = hits.where("doc = keeper").groupBy("root").agg(F.min("pos").alias("first"))
     marked = hits.join(stays, "root").where("NOT (doc = keeper AND pos = first)")
     cuts, at_cuts = materialise(marked.groupBy("w1", "w2").agg(F.collect_set("pos").alias("cut")), "cuts")

@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quadrille.llm import banding, line_dedup, near_dedup, queries
 
@@ -48,6 +49,23 @@ def test_all_pairs_of_a_bucket_count(spark):
     assert roots == {i: 0 for i in range(ring)} | {9001: 9001, 9002: 9001}
 
 
+def test_large_buckets_make_rows_only_for_possible_pairs(spark):
+    """A bucket of 400 with five copies each of 80 things: no pair of two things reaches what verifies."""
+    n, kinds = 400, 80
+    first = banding.elect(spark.createDataFrame([(7, i) for i in range(n)], "key long, id long"))
+    marks = spark.range(n).selectExpr("id", f"id % {kinds} AS kind")
+    seen = []
+
+    def confirm(pairs):
+        rows = pairs.collect()
+        seen.append(len(rows))
+        return pairs.where(f"a % {kinds} = b % {kinds}")
+
+    table, _ = banding.linked(first, confirm, marks, lambda x, y: F.col(f"{x}kind") == F.col(f"{y}kind"))
+    roots = {r.id: r.root for r in table.collect()}
+    assert roots == {i: i % kinds for i in range(n)} and sum(seen) <= 2 * n + n * (n // kinds)
+
+
 # -- documents
 
 
@@ -213,6 +231,31 @@ def test_lines_against_brute_force(spark):
     assert {r.doc_id: r.text for r in out.collect()} == lines_by_brute_force(rows)
 
 
+def test_marks_hide_no_copy(spark):
+    """Every pair that reaches the threshold is possible, by lines of all lengths; of those far from it few are."""
+    rnd = random.Random(17)
+    lines = ["ab", "abcde", "é" * 50]
+    for length in (8, 30, 200, 900, 4000):
+        base = [rnd.choice("abcdefghij klmnö中") for _ in range(length)]
+        for edits in (0, 1, 2, length // 60, length // 45, length // 20, length // 5):
+            line = list(base)
+            for at in rnd.sample(range(length), edits):
+                line[at] = rnd.choice("xyz")
+            lines.append("".join(line))
+    lines = sorted(set(lines))
+    marks = line_dedup._marks(spark.createDataFrame(list(enumerate(lines)), "id long, line string"))
+    x, y = (marks.select(*(F.col(c).alias(f"{p}_{c}") for c in marks.columns if c != "line")) for p in "xy")
+    got = {tuple(r) for r in x.join(y, line_dedup.possible("x_", "y_", 0.8)).select("x_id", "y_id").collect()}
+    far = 0
+    for i, a in enumerate(lines):
+        for j, b in enumerate(lines):
+            a_set, b_set = every_shingle(a), every_shingle(b)
+            likely = len(a_set & b_set) / len(a_set | b_set)
+            assert likely < 0.8 or (i, j) in got
+            far += likely < 0.4 and (i, j) in got
+    assert far <= len(lines)
+
+
 def test_lines_run_without_python(spark, documents):
     nodes = line_dedup._distinct(line_dedup._lines(documents)).selectExpr("*", "monotonically_increasing_id() AS id")
     plan = line_dedup._signed(nodes)._jdf.queryExecution().executedPlan().toString()
