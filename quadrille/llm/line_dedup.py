@@ -5,13 +5,15 @@ characters from every offset (a shorter line is one shingle). An inserted or del
 character changes the shingles that hold it and no others, in spaced and unspaced text.
 
 Equal lines are one row before anything is cut into shingles. Candidates come from MinHash
-bands over wider shingles of nine characters, also at every offset, since short ones are
+bands over wider shingles of nine bytes of UTF-8, also at every offset, since short ones are
 shared by chance: twelve bands of three minima. Every shingle is hashed; the minima of a
 long line are taken over those whose hash falls below a limit that leaves about ``SAMPLE``
 of them, the same ones in any line that holds them. Lines of so few different shingles that
-the limit leaves almost none get minima over all shingles of both widths too, and lines of up
+the limit leaves almost none get minima of both widths under a higher limit too, those that
+it leaves as few of under none, and lines of up
 to ``SHORT`` characters minima over their five-character shingles, in bands of their own.
-The exact Jaccard similarity of the five-character sets of both whole lines decides, and
+Marks, bits that a line's five-character shingles set, rule pairs out that cannot reach the
+threshold, and no others, before they are rows. The exact Jaccard similarity of the five-character sets of both whole lines decides, and
 connected components of the confirmed pairs are found by distributed label passing. Of each
 component one line stays: the first one of its smallest doc_id.
 
@@ -34,7 +36,7 @@ from .common import broadcast_if_small, discard, let, materialise, packed, relea
 THRESHOLD = 0.8
 SHINGLE, WIDE, SHORT = 5, 9, 40
 BANDS, ROWS = 12, 3
-#: Shingles that a line's minima are taken over, about; below so many different ones the line gets minima over all, too.
+#: Shingles that a line's minima are taken over, about; below so many different ones the line gets minima under 16 times the limit, then over all, too.
 SAMPLE, FEWEST = 32, 8
 #: Longs of a line's mark.
 WORDS = 48
