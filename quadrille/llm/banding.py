@@ -11,7 +11,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialise
+from .common import discard, materialise, release
 
 
 #: Leaders of a bucket in the second election, members of a block.
@@ -91,11 +91,13 @@ def linked(
         blocks = F.ceil(F.col("n") / BLOCK)
         marked = members if marks is None else members.join(marks, "id")
         own, its = ([F.col(c).alias(f"{of}_{c}") for c in (marks.columns if marks is not None else ()) if c != "id"] for of in ("own", "its"))
-        dealt = marked.select("key", F.pmod(F.xxhash64("id"), blocks).alias("block"), "id", "root", "leads", *own)
-        each = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block")
-        leaders = marked.where("leads").select("key", each, F.col("id").alias("leader"), F.col("root").alias("other"), *its)
+        # A block is met by blocks of leaders, each of the two in a task of its own: no key is left to be split as the join finds it.
+        cell, backs = ("key", "front", "back"), blocks if turn else F.lit(1).cast("long")
+        place, each = (lambda n: F.pmod(F.xxhash64("id"), n)), (lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+        dealt = marked.select("key", place(blocks).alias("front"), each(backs).alias("back"), "id", "root", "leads", *own).repartition(*cell)
+        leaders = marked.where("leads").select("key", each(blocks).alias("front"), place(backs).alias("back"), F.col("id").alias("leader"), F.col("root").alias("other"), *its).repartition(*cell)
         meet = (F.col("root") != F.col("other")) & (~F.col("leads") | (F.col("id") < F.col("leader")))
-        met = dealt.join(leaders, ["key", "block"]).where(meet if possible is None else meet & possible("own_", "its_"))
+        met = dealt.join(leaders, list(cell)).where(meet if possible is None else meet & possible("own_", "its_"))
         pairs = met.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
         fresh, at_fresh = materialise(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         edges, at_edges = materialise(confirm(fresh), "edges")
@@ -109,6 +111,7 @@ def linked(
         for path in (at_members, at_edges):
             discard(spark, path)
         tested, at_tested = tested.unionByName(fresh), [*at_tested, at_fresh]
+        release(spark)
         turn += 1
     for path in (*at_tested, at_members):
         discard(spark, path)
@@ -139,6 +142,7 @@ def components(edges: DataFrame) -> tuple[DataFrame, list[str]]:
         for old in (path, at_jumped):
             discard(spark, old)
         links, path = following, at_following
+        release(spark)
     roots = links.select(F.col("p").alias("id")).distinct()
     table = links.select(F.col("c").alias("id"), F.col("p").alias("root")).unionByName(roots.select("id", F.col("id").alias("root")))
     return table, [path]

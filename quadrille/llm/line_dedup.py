@@ -38,8 +38,10 @@ SHINGLE, WIDE, SHORT = 5, 9, 40
 BANDS, ROWS = 12, 3
 #: Shingles that a line's minima are taken over, about; below so many different ones the line gets minima under 16 times the limit, then over all, too.
 SAMPLE, FEWEST = 32, 8
-#: Longs of a line's mark.
-WORDS = 48
+#: Longs of a line's mark, and of these gathered at a time.
+WORDS, PART = 48, 8
+#: Pairs up to which only the lines that they name are sent to be compared.
+PAIRS = 1 << 16
 NO_ID = -(2**63)
 SPACES = "\t\r\x0b\f"
 
@@ -124,15 +126,18 @@ def _signed(nodes: DataFrame, sample: int | None = SAMPLE, kind: int = 0) -> Dat
 def _marks(texts: DataFrame) -> DataFrame:
     """id, line, size (different five-character shingles) and w0, w1 ... (``64 * WORDS`` bits that they set) of every line.
 
-    The lines are dealt by id first: what their many shingles give is gathered where the line is.
+    The lines are dealt by id first: what their many shingles give is gathered where the line is,
+    ``PART`` longs at a time.
     """
-    dealt = texts.repartition("id").select("id", F.encode("line", "UTF-32").alias("b"))
-    each = dealt.select("id", "b", F.explode(_offsets(F.octet_length("b"), SHINGLE)).alias("i"))
+    dealt = texts.repartition("id")
+    each = dealt.select("id", F.encode("line", "UTF-32").alias("b")).select("id", "b", F.explode(_offsets(F.octet_length("b"), SHINGLE)).alias("i"))
     hashed = each.select("id", F.xxhash64(F.substring(F.col("b"), F.col("i"), F.lit(4 * SHINGLE))).alias("s"))
     placed = hashed.select("id", F.pmod(F.shiftrightunsigned("s", 6), F.lit(WORDS)).alias("word"), F.expr("shiftleft(1L, cast(s & 63 AS int))").alias("bit"))
-    bits = placed.groupBy("id", "word").agg(F.bit_or("bit").alias("bits"))
-    words = [F.bit_or(F.when(F.col("word") == k, F.col("bits")).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(WORDS)]
-    return texts.select("id", "line", F.size(shingles(F.col("line"))).alias("size")).join(bits.groupBy("id").agg(*words), "id")
+    where = lambda column, k, value: F.when(F.col(column) == k, F.col(value)).otherwise(F.lit(0).cast("long"))
+    part = placed.select("id", F.floor(F.col("word") / PART).alias("part"), (F.col("word") % PART).alias("nth"), "bit")
+    bits = part.groupBy("id", "part").agg(*(F.bit_or(where("nth", k, "bit")).alias(f"v{k}") for k in range(PART)))
+    words = (F.bit_or(where("part", k // PART, f"v{k % PART}")).alias(f"w{k}") for k in range(WORDS))
+    return dealt.select("id", "line", F.size(shingles(F.col("line"))).alias("size")).join(bits.groupBy("id").agg(*words), "id")
 
 
 def possible(x: str, y: str, threshold: float) -> Column:
@@ -190,7 +195,10 @@ def _repeated(lines: DataFrame, threshold: float) -> tuple[DataFrame, list[str]]
     release(spark)
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        left, right = (texts.select(*(F.col(c).alias(i if c == "id" else f"{i}_{c}") for c in texts.columns)) for i in "ab")
+        held = texts
+        if pairs.count() <= PAIRS:
+            held = texts.join(F.broadcast(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "id", "left_semi")
+        left, right = (held.select(*(F.col(c).alias(i if c == "id" else f"{i}_{c}") for c in held.columns)) for i in "ab")
         both = pairs.join(left, "a").join(right, "b").where(possible("a_", "b_", threshold))
         common = F.size(F.array_intersect(shingles(F.col("a_line")), shingles(F.col("b_line"))))
         # common >= threshold * (all - common), with the sets named once: they are made as often as they are named.

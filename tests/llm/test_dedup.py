@@ -66,6 +66,23 @@ def test_large_buckets_make_rows_only_for_possible_pairs(spark):
     assert roots == {i: i % kinds for i in range(n)} and sum(seen) <= 2 * n + n * (n // kinds)
 
 
+def test_both_sides_of_a_meeting_are_dealt_beforehand(spark, monkeypatch):
+    """A join whose sides Spark deals itself is split, on large keys, into the parts of one side times those of the other."""
+    plans, written = [], banding.materialise
+
+    def noted(df, label):
+        if label == "pairs":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, label)
+
+    first = banding.elect(spark.createDataFrame([(7, i) for i in range(600)], "key long, id long"))
+    monkeypatch.setattr(banding, "materialise", noted)
+    monkeypatch.setattr(banding, "BLOCK", 100)
+    table, _ = banding.linked(first, lambda pairs: pairs.where("a + 300 = b"))
+    assert {r.id: r.root for r in table.collect()} == {i: i % 300 for i in range(600)}
+    assert len(plans) == 2 and all(plan.count("REPARTITION_BY_COL") >= 2 for plan in plans)
+
+
 # -- documents
 
 
