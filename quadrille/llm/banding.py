@@ -60,7 +60,7 @@ def elect(members: DataFrame) -> Election:
 def linked(
     first: Election,
     confirm: Callable[[DataFrame], DataFrame],
-    marks: DataFrame | None = None,
+    marks: DataFrame | Callable[[DataFrame], DataFrame] | None = None,
     possible: Callable[[str, str], Column] | None = None,
 ) -> tuple[DataFrame, list[str]]:
     """(id, root) as of ``components`` over all pairs of bucket members that ``confirm`` keeps.
@@ -69,14 +69,15 @@ def linked(
     component, or elects ``WIDTH`` further leaders that meet all members of other components; then
     all that are still in several components meet: each pair was verified or its ends are in one
     component, so the components are those of all pairs of each bucket. Large buckets meet block by
-    block. With ``marks`` (id, mark) a meeting makes a row only where ``possible`` holds for the
-    marks, which must be false for none that ``confirm`` keeps.
+    block. With ``marks`` (id, mark), or what makes them for the ids (id) of the first meeting, a
+    meeting makes a row only where ``possible`` holds for the marks, which must be false for none
+    that ``confirm`` keeps.
     """
     spark = first.pairs.sparkSession
     table, at_table = components(confirm(first.pairs))
     others = first.shared.where("n > 2").join(first.leaders, "key").where("NOT array_contains(leaders, id)")
     rest, at_rest = materialise(others.select("key", "id"), "rest")
-    tested, at_tested, turn = first.pairs, [], 0
+    tested, at_tested, at_marks, turn = first.pairs, [], [], 0
     while True:
         lot = F.xxhash64("id", "key", F.lit(turn))
         rooted, at_rooted = materialise(rest.join(table, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"), lot.alias("lot")), "rooted")
@@ -88,6 +89,9 @@ def linked(
             discard(spark, path)
         if members.isEmpty():
             break
+        if callable(marks):  # later meetings are between members of the first
+            marks, at = materialise(marks(members.select("id").distinct()), "marks")
+            at_marks.append(at)
         blocks = F.ceil(F.col("n") / BLOCK)
         marked = members if marks is None else members.join(marks, "id")
         own, its = ([F.col(c).alias(f"{of}_{c}") for c in (marks.columns if marks is not None else ()) if c != "id"] for of in ("own", "its"))
@@ -113,7 +117,7 @@ def linked(
         tested, at_tested = tested.unionByName(fresh), [*at_tested, at_fresh]
         release(spark)
         turn += 1
-    for path in (*at_tested, at_members):
+    for path in (*at_tested, *at_marks, at_members):
         discard(spark, path)
     return table, at_table
 

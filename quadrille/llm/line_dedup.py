@@ -9,11 +9,10 @@ bands over wider shingles of nine bytes of UTF-8, also at every offset, since sh
 shared by chance: twelve bands of three minima. Every shingle is hashed; the minima of a
 long line are taken over those whose hash falls below a limit that leaves about ``SAMPLE``
 of them, the same ones in any line that holds them. Lines of so few different shingles that
-the limit leaves almost none get minima of both widths under a higher limit too, those that
-it leaves as few of under none, and lines of up
+the limit leaves almost none get minima of both widths over all of them too, and lines of up
 to ``SHORT`` characters minima over their five-character shingles, in bands of their own.
-Marks, bits that a line's five-character shingles set, rule pairs out that cannot reach the
-threshold, and no others, before they are rows. The exact Jaccard similarity of the five-character sets of both whole lines decides, and
+Where many members of a bucket meet, marks, bits that a line's five-character shingles set, rule
+pairs out that cannot reach the threshold, and no others, before they are rows. The exact Jaccard similarity of the five-character sets of both whole lines decides, and
 connected components of the confirmed pairs are found by distributed label passing. Of each
 component one line stays: the first one of its smallest doc_id.
 
@@ -36,7 +35,7 @@ from .common import broadcast_if_small, discard, let, materialise, packed, relea
 THRESHOLD = 0.8
 SHINGLE, WIDE, SHORT = 5, 9, 40
 BANDS, ROWS = 12, 3
-#: Shingles that a line's minima are taken over, about; below so many different ones the line gets minima under 16 times the limit, then over all, too.
+#: Shingles that a line's minima are taken over, about; below so many different ones the line gets minima over all, too.
 SAMPLE, FEWEST = 32, 8
 #: Longs of a line's mark, and of these gathered at a time.
 WORDS, PART = 48, 8
@@ -66,11 +65,26 @@ def shingles(line: Column) -> Column:
     return F.array_distinct(let(F.encode(line, "UTF-32"), hashed))
 
 
+def similar(pairs: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of the pairs (a, b, a_line, b_line) whose shingles reach the threshold.
+
+    The sets pass through a generator: else they would be made as often as the condition names them.
+    """
+    sets = F.struct(shingles(F.col("a_line")).alias("a"), shingles(F.col("b_line")).alias("b"))
+    m, n = F.size("sets.a"), F.size("sets.b")
+    # common >= threshold * (all - common)
+    enough = F.size(F.array_intersect("sets.a", "sets.b")) >= F.lit(threshold / (1 + threshold)) * (m + n) - 1e-9
+    near = (F.least(m, n) >= (threshold - 1e-9) * F.greatest(m, n)) & enough
+    return pairs.select("a", "b", F.explode(F.array(sets)).alias("sets")).where(near).select("a", "b")
+
+
 def _lines(documents: DataFrame) -> DataFrame:
     """One row per line that is not blank: doc, w1, w2 (the document's own key), pos, line, h1, h2."""
     text = F.coalesce("text", F.lit(""))
     rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), text.alias("text"))
-    keyed = rows.select("doc", *_whole(F.col("doc"), F.col("text")), F.posexplode(F.split(F.lower("text"), "\n")).alias("pos", "line"))
+    # The keys first: beside the generator a whole text would be hashed for each of its lines.
+    whole = rows.select("doc", "text", *_whole(F.col("doc"), F.col("text")))
+    keyed = whole.select("doc", "w1", "w2", F.posexplode(F.split(F.lower("text"), "\n")).alias("pos", "line"))
     lines = keyed.select("doc", "w1", "w2", "pos", normalised(F.col("line")).alias("line")).where("line <> ''")
     return lines.select("*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
@@ -89,7 +103,7 @@ def _distinct(lines: DataFrame, *more: Column) -> DataFrame:
 
 
 def _signed(nodes: DataFrame, sample: int | None = SAMPLE, kind: int = 0) -> DataFrame:
-    """id, h1, h2, n, doc, width, keys (of the bands, null without minima) and found (different minima) of every line.
+    """id, h1, h2, n, doc, width, keys (of the bands, null without minima) and found (bits that its different shingles below the limit set, of 64) of every line.
 
     One row per line, and a second one of the other width for short lines, or for all with a
     ``kind`` above 0; no limit where ``sample`` is none. Wide shingles are nine bytes of UTF-8,
@@ -106,7 +120,9 @@ def _signed(nodes: DataFrame, sample: int | None = SAMPLE, kind: int = 0) -> Dat
     last = F.greatest(F.octet_length("b") - F.col("span") + 1, F.lit(1))
     each = cut.select("*", (F.floor((last - 1) / F.col("step")) + 1).alias("n"), F.explode(F.sequence(F.lit(1), last, F.col("step"))).alias("i"))
     hashed = each.select(*own, "times", "doc", "width", "n", "i", F.xxhash64(F.substring(F.col("b"), F.col("i"), F.col("span"))).alias("s"))
-    if sample is not None:  # the upper 31 bits, as a share of all, below sample / n; the first row stands for the line
+    if sample is None:  # such lines hold few different shingles, each many times
+        hashed = hashed.groupBy(*own, "width", "s").agg(F.min("times").alias("times"), F.min("doc").alias("doc"))
+    else:  # the upper 31 bits, as a share of all, below sample / n; the first row stands for the line
         below = F.shiftrightunsigned("s", 33) * F.col("n") < sample << 31
         hashed = hashed.where(below | (F.col("i") == 1)).withColumn("s", F.when(below, F.col("s")))
     # Each hash function is a one-to-one map of the hashes: a shift, that no two of a band share, and a mask.
@@ -114,12 +130,14 @@ def _signed(nodes: DataFrame, sample: int | None = SAMPLE, kind: int = 0) -> Dat
     for i in range(BANDS * ROWS):
         mask = (i + 1) * 0x9E3779B97F4A7C15 % 2**64
         by, m = 32 + 7 * i % 23, F.lit(mask - 2**64 if mask >= 2**63 else mask)
-        moved = lambda x, by=by: x.bitwiseXOR(F.shiftleft(x, by))  # noqa: E731  its own inverse, as by is 32 or more
-        maps.append((lambda x, moved=moved, m=m: moved(x).bitwiseXOR(m), lambda y, moved=moved, m=m: moved(y.bitwiseXOR(m))))
-    minima = (F.min(to(F.col("s"))).alias(f"m{i}") for i, (to, _) in enumerate(maps))
-    least = hashed.groupBy(*own, "width").agg(F.min("times").alias("n"), F.min("doc").alias("doc"), *minima)
+        moved = lambda x, by=by: x.bitwiseXOR(F.shiftleft(x, by))  # noqa: E731  one to one, as by is 32 or more
+        maps.append(lambda x, moved=moved, m=m: moved(x).bitwiseXOR(m))
+    minima = (F.min(to(F.col("s"))).alias(f"m{i}") for i, to in enumerate(maps))
+    # One long tells few different shingles from many; the minima themselves are dear to count.
+    bits = F.bit_or(F.expr("shiftleft(1L, cast(s & 63 AS int))")).alias("bits")
+    least = hashed.groupBy(*own, "width").agg(F.min("times").alias("n"), F.min("doc").alias("doc"), bits, *minima)
     keys = F.array(*(F.xxhash64(F.col("width") + 100 * kind, F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)))
-    found = F.size(F.array_distinct(F.array(*(back(F.col(f"m{i}")) for i, (_, back) in enumerate(maps)))))
+    found = F.coalesce(F.bit_count("bits"), F.lit(0))
     return least.select(*own, "n", "doc", "width", F.when(F.col("m0").isNotNull(), keys).alias("keys"), found.alias("found"))
 
 
@@ -174,37 +192,29 @@ def _repeated(lines: DataFrame, threshold: float) -> tuple[DataFrame, list[str]]
     signed, at_signed = materialise(_signed(_distinct(lines, F.min("at").alias("id"))), "signed")
     release(spark)
     nodes = signed.where(F.col("width") == WIDE).drop("width", "keys", "found")
-    # Repetitive lines: few shingles were below the limit, or none. A higher one for them, and none for those that it leaves few.
+    # Repetitive lines: few shingles were below the limit, or none.
     few = signed.where((F.col("width") == WIDE) & (F.col("found") < FEWEST)).drop("width", "keys", "found")
-    chosen, at_few = materialise(lines.select("line", F.col("at").alias("id")).join(broadcast_if_small(few, few.count(), 64), "id"), "few")
-    again, at_again = materialise(_signed(chosen, 16 * SAMPLE, 1), "again")
-    fewer = again.where((F.col("width") == WIDE) & (F.col("found") < FEWEST)).select("id")
-    redone = _signed(chosen.join(broadcast_if_small(fewer, fewer.count(), 16), "id"), None, 2)
-    keyed = signed.select("id", "keys").unionByName(again.select("id", "keys")).unionByName(redone.select("id", "keys"))
+    chosen = lines.select("line", F.col("at").alias("id")).join(broadcast_if_small(few, few.count(), 64), "id")
+    again = _signed(chosen, None, 1)
+    keyed = signed.select("id", "keys").unionByName(again.select("id", "keys"))
     first = elect(keyed.where("keys IS NOT NULL").select(F.explode("keys").alias("key"), "id"))
-    for path in (at_few, at_again):
-        discard(spark, path)
     release(spark)
 
     ids = first.pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     # The lines travel, not their sets: eight bytes a shingle would be many times the text.
-    bare, at_bare = materialise(ids.join(lines.select(F.col("at").alias("id"), "line"), "id"), "bare")
-    release(spark)
-    texts, at_texts = materialise(_marks(bare), "texts")
-    discard(spark, at_bare)
+    texts, at_texts = materialise(ids.join(lines.select(F.col("at").alias("id"), "line"), "id"), "texts")
     release(spark)
 
     def confirm(pairs: DataFrame) -> DataFrame:
         held = texts
         if pairs.count() <= PAIRS:
             held = texts.join(F.broadcast(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "id", "left_semi")
-        left, right = (held.select(*(F.col(c).alias(i if c == "id" else f"{i}_{c}") for c in held.columns)) for i in "ab")
-        both = pairs.join(left, "a").join(right, "b").where(possible("a_", "b_", threshold))
-        common = F.size(F.array_intersect(shingles(F.col("a_line")), shingles(F.col("b_line"))))
-        # common >= threshold * (all - common), with the sets named once: they are made as often as they are named.
-        return both.where(common >= F.lit(threshold / (1 + threshold)) * (F.col("a_size") + F.col("b_size")) - 1e-9).select("a", "b")
+        left, right = (held.select(F.col("id").alias(i), F.col("line").alias(f"{i}_line")) for i in "ab")
+        return similar(pairs.join(left, "a").join(right, "b"), threshold)
 
-    table, at_table = linked(first, confirm, texts.drop("line"), lambda x, y: possible(x, y, threshold))
+    # Marks cost more than a comparison or two: only lines that meet many others get them.
+    marks = lambda ids: _marks(texts.join(ids, "id")).drop("line")
+    table, at_table = linked(first, confirm, marks, lambda x, y: possible(x, y, threshold))
     for path in (*first.paths, at_texts):
         discard(spark, path)
 

@@ -346,6 +346,47 @@ def test_repetitive_lines(spark):
     assert {i for i, t in got.items() if t} == {0, 3, 10, 12, 14}
 
 
+def test_first_pairs_need_no_marks(spark, monkeypatch):
+    """Marks are made for lines that meet in what is left of a bucket, not for each line of a pair."""
+    marked, marks = [], line_dedup._marks
+
+    def counted(texts):
+        marked.append(texts.count())
+        return marks(texts)
+
+    monkeypatch.setattr(line_dedup, "_marks", counted)
+    rnd = random.Random(6)
+    words = lambda n: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
+    pairs = [words(40) for _ in range(30)]
+    family = words(60).split()  # each member differs from the next in one word, from most others in many
+    rows = [(i, f"{x}\n{x} end") for i, x in enumerate(pairs)]
+    for i in range(40):
+        family[i] = f"v{i}"
+        rows.append((100 + i, " ".join(family)))
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == lines_by_brute_force(rows)
+    assert sum(marked) <= 40
+
+
+def test_texts_are_hashed_once(spark):
+    """The key of a document is made before its lines are: not once for each line."""
+    lines = line_dedup._lines(spark.createDataFrame([(1, "a\nb")], "doc_id long, text string"))
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Generate")]
+    assert "AS w1" not in above and "AS w1" in plan
+
+
+def test_repetitive_lines_are_found_few(spark):
+    """Different shingles are told by bits: few for repetitive lines and none below the limit, many for others."""
+    rnd = random.Random(3)
+    lines = ["=-" * 400, "_" * 3000, "word " * 2000] + [" ".join(f"w{rnd.randrange(10**6)}" for _ in range(40)) for _ in range(20)]
+    nodes = spark.createDataFrame([(i, i, 1, 1, i, x) for i, x in enumerate(lines)], "h1 long, h2 long, n long, doc long, id long, line string")
+    found = {r.id: r.found for r in line_dedup._signed(nodes).where("width = 9").collect()}
+    assert all(found[i] < line_dedup.FEWEST for i in range(3)) and all(found[i] >= line_dedup.FEWEST for i in range(3, 23))
+    keys = line_dedup._signed(nodes.where("id < 3"), None, 1).select("keys").collect()
+    assert len(keys) == 6 and all(len(r[0]) == 12 for r in keys)
+
+
 def test_columns_of_any_name(spark):
     rows = [(1, "a line that stays\nand one more", 5, "x", 6, 7), (2, "a line that stays", 5, "y", 6, 7)]
     df = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int, _row string, line int, `c``d` int")
