@@ -92,7 +92,7 @@ class Evaluator:
         self.spark, self.default, self.named, self.params = spark, default, named or {}, params or {}
         self.graph = default
         self.count = 0
-        #: Inside EXISTS: the outer solutions, cut to the variables that the tested group's expressions read.
+        #: Inside EXISTS: the outer solutions, if the tested group's expressions read some of their variables.
         self.around: Solutions | None = None
 
     def fresh(self, label: str = "v") -> str:
@@ -369,10 +369,11 @@ class Evaluator:
     def exists(self, sols: Solutions, e: Exists) -> Solutions:
         """The solutions of the tested group, cut to what they share with ``sols``.
 
-        Filters and BINDs at any depth of the group see the outer variables that they read:
-        the distinct outer values of those are joined into the group that reads them.
+        Filters and BINDs at any depth of the group see the outer variables that they read: the
+        distinct outer values of those are joined into the group that reads them, on the variables
+        that it shares with ``sols``.
         """
-        names = [n for n in sorted(read_within(e.group)) if n in sols.specs]
+        names = sols.visible() if read_within(e.group) & set(sols.specs) else []
         around, self.around = self.around, sols.project(names).distinct() if names else None
         try:
             # What the outer test itself sees stays visible in here.
