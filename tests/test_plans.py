@@ -46,7 +46,7 @@ def test_distinct_with_an_order_that_is_not_projected(spark):
     assert [r.p for r in rows] == [1, 2]
 
 
-@pytest.mark.parametrize("name", ["q_10_exists_bind", "q_10_exists_nested"])
+@pytest.mark.parametrize("name", ["q_10_exists_bind", "q_10_exists_nested", "q_10_exists_outer_filter"])
 def test_exists_meets_outer_values_on_keys(spark, name):
     """Outer values that a tested group reads join it on the variables it shares with the outer solutions."""
     joins = [line for line in plan(catalogue.queries()[name](spark, SF)).splitlines() if "Join " in line]
